@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, exact_dedup
+from folioscope.llm import bpe, decontaminate, exact_dedup, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_simhash": simhash.op4_simhash,
         "op7_bpe_chunks": bpe.op7_bpe_chunks,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
@@ -18,5 +20,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontaminate": decontaminate.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
     }
