@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import bpe, decontaminate, exact_dedup, simhash
+from folioscope.llm import bpe, decontaminate, exact_dedup, language, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op4_simhash": simhash.op4_simhash,
+        "op5_language": language.op5_language,
         "op7_bpe_chunks": bpe.op7_bpe_chunks,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
