@@ -118,8 +118,10 @@ def fit(histograms: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed:
     z = np.stack([histograms[r][1] @ folded[histograms[r][0]] + bias for r in check])
     # The temperature with the least loss on the calibration rows.
     grid = np.geomspace(0.02, 5, 60)
-    loss = [-np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
-    temperature = float(grid[int(np.argmin(loss))])
+    # Targets are (n + 1) / (n + 2), so that a run of right answers doesn't make the model boundless.
+    target = (len(check) + 1) / (len(check) + 2)
+    own = [np.clip(_softmax(z / t)[np.arange(len(check)), y[check]], 1e-12, 1 - 1e-12) for t in grid]
+    temperature = float(grid[int(np.argmin([-(target * np.log(q) + (1 - target) * np.log(1 - q)).mean() for q in own]))])
     p = _softmax(z / temperature)
     score, right = p.max(axis=1), p.argmax(axis=1) == y[check]
     by = np.argsort(-score)

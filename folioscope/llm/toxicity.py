@@ -11,7 +11,7 @@ classifier from fitting the positives by heart. The prior is the share of toxic
 training rows.
 
 Bounds of the fit: at most POSITIVES confirmed and UNLABELLED other rows, taken by a hash of the id, and
-FEATURES weights. Every document is scored over its whole text.
+LEANING + COMMON weights. Every document is scored over its whole text.
 
 Defined cases: a null or empty text is scored by the bias alone; null labels count as unlabelled; without
 any confirmed row every score is the prior; repeated rows are scored alike; an empty input gives no rows;
@@ -20,6 +20,7 @@ other columns are ignored. Ids serve for the split and the sample only.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +35,9 @@ from folioscope.llm.common import crc_mod, id_and_text, record_batch, small_batc
 
 POSITIVES = 3000
 UNLABELLED = 9000
-FEATURES = 20_000
+#: Weights: features that lean most towards the confirmed rows, and the commonest ones of the mixture.
+LEANING = 1000
+COMMON = 400
 #: Confirmed rows that must hold a feature.
 LEAST_ROWS = 3
 BEGINNINGS = (4, 5, 6)
@@ -53,15 +56,53 @@ def features(text: str | None) -> set[str]:
     return found
 
 
+#: Words whose known features a task remembers.
+REMEMBERED = 200_000
+
+
+class Known:
+    """Finds the features of a text that are among those known; the result of each word is remembered."""
+
+    def __init__(self, number: dict[str, int]):
+        self.number = number
+        self.held: dict[str, tuple[int, ...]] = {}
+
+    def word(self, w: str) -> tuple[int, ...]:
+        own = [w, *(w[:n] + "-" for n in BEGINNINGS if len(w) > n)]
+        found = tuple(self.number[x] for x in own if x in self.number)
+        if len(self.held) >= REMEMBERED:
+            self.held.clear()
+        self.held[w] = found
+        return found
+
+    def __call__(self, text: str | None) -> set[int]:
+        out: set[int] = set()
+        get = self.held.get
+        for w in set(WORD.findall((text or "").lower())):
+            found = get(w)
+            if found is None:
+                found = self.word(w)
+            if found:
+                out.update(found)
+        return out
+
+
 @dataclass
 class Model:
-    weights: dict[str, float]
+    features: list[str]
+    weights: np.ndarray
     bias: float
 
-    def score(self, text: str | None) -> float:
-        get = self.weights.get
-        z = self.bias + sum(get(w, 0.0) for w in features(text))
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -60.0, 60.0))))
+    def scorer(self):
+        """A function from a text to its score."""
+        known = Known({x: k for k, x in enumerate(self.features)})
+        weights, bias = self.weights.tolist(), self.bias
+
+        def score(text: str | None) -> float:
+            z = bias + math.fsum(weights[k] for k in known(text))
+            return 1.0 / (1.0 + math.exp(-min(max(z, -60.0), 60.0)))
+
+        return score
 
 
 def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_features: int, prior: float, rounds: int = ROUNDS, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -133,24 +174,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_pos, n_unl = texts.agg(F.sum(F.col("positive").cast("long")), F.sum((~F.col("positive")).cast("long"))).first()
     counts = texts.mapInArrow(listed, "positive boolean, feature string, n bigint").groupBy("feature")
     counts = counts.agg(F.sum(F.when(F.col("positive"), F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("positive"), 0).otherwise(F.col("n"))).alias("u"))
-    lean = F.abs(F.log((F.col("p") + 0.5) / ((n_pos or 0) + 1)) - F.log((F.col("u") + 0.5) / ((n_unl or 0) + 1))) * F.sqrt("p")
-    chosen = counts.filter(F.col("p") >= LEAST_ROWS).orderBy(lean.desc(), "feature").limit(FEATURES).select("feature").toPandas()["feature"].tolist()
+    lean = (F.log((F.col("p") + 0.5) / ((n_pos or 0) + 1)) - F.log((F.col("u") + 0.5) / ((n_unl or 0) + 1))) * F.sqrt("p")
+    leaning = counts.filter(F.col("p") >= LEAST_ROWS).orderBy(lean.desc(), "feature").limit(LEANING)
+    common = counts.orderBy(F.desc("u"), "feature").limit(COMMON)
+    chosen = sorted({r["feature"] for r in leaning.select("feature").union(common.select("feature")).collect()})
     number = {x: k for k, x in enumerate(chosen)}
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("positive", pa.bool_()), ("cols", pa.list_(pa.int32()))])
         for batch in batches:
-            cols = [[number[x] for x in features(t) if x in number] for t in batch.column(1).to_pylist()]
+            known = Known(number)
+            cols = [sorted(known(t)) for t in batch.column(1).to_pylist()]
             yield record_batch(schema, positive=batch.column(0), cols=cols)
 
     sample = texts.mapInArrow(numbered, "positive boolean, cols array<int>").toArrow()
-    lists = sample.column("cols").combine_chunks()
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    cols = [np.array(x, np.int64) for x in sample.column("cols").to_pylist()]
     marks = np.array(sample.column("positive").to_pylist(), bool)
-    rows = np.repeat(np.arange(len(marks)), np.diff(lists.offsets.to_numpy())) if len(marks) else np.empty(0, np.int64)
-    order = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(marks) else np.empty(0, np.int64)
-    w, bias = fit_nnpu(rows, order, marks, len(chosen), prior)
-    return Model({x: float(w[k]) for x, k in number.items() if w[k] != 0.0}, bias)
+    rows = np.repeat(np.arange(len(marks)), [len(x) for x in cols])
+    flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
+    w, bias = fit_nnpu(rows, flat, marks, len(chosen), prior)
+    return Model(chosen, w, bias)
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,8 +206,9 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     schema = pa.schema([("doc_id", pa.int64() if kind == "bigint" else pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = model.scorer()
         for batch in batches:
-            yield record_batch(schema, doc_id=batch.column(0), score=[model.score(t) for t in batch.column(1).to_pylist()])
+            yield record_batch(schema, doc_id=batch.column(0), score=[score(t) for t in batch.column(1).to_pylist()])
 
     return source.mapInArrow(run, f"doc_id {'bigint' if kind == 'bigint' else 'string'}, score double")
 
