@@ -6,19 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import archives, bpe, decontaminate, exact_dedup, language, simhash, token_counts, toxicity
+from folioscope.llm import archives, bpe, class_lm, decontaminate, exact_dedup, language, simhash, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_warc": archives.op2_warc,
+        "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_language": language.op5_language,
         "op6_token_counts": token_counts.op6_token_counts,
         "op7_bpe_chunks": bpe.op7_bpe_chunks,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_class_lm": class_lm.op10_class_lm,
     }
 
 
