@@ -7,9 +7,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.plans import search
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[ModuleType] = []
+MODULES: list[ModuleType] = [search]
 
 
 def queries() -> dict[str, Query]:
