@@ -61,7 +61,7 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts by a stream over the table that runs to its end; equal to the batch result."""
     batch = table(spark, sf_dir, "events")
     stamp = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))  # noqa: E731  watermarks need a time zone
-    source = stamp(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet"))
+    source = stamp(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*"))
     out, state = graph.shared_path(spark, "stream-out"), graph.shared_path(spark, "stream-state")
     shape = E.windowed(stamp(batch), "1 day").schema
 

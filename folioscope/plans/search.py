@@ -38,21 +38,21 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "text", 30)
 
 
-@R.add(BM25_SQL + "SELECT query_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 30")
+@R.add(BM25_SQL + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 30")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 best documents of each question."""
-    return _bm25(spark, sf_dir).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return _bm25(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
 
 
 @R.add(
     BM25_SQL
-    + """SELECT source, doc_id, round(sum(score) / sqrt(count(*) + 1), 4) AS score, count(*) AS n_hits
+    + """SELECT source, doc_id, round(sum(score) / sqrt(count(*) + 1), 6) AS score, count(*) AS n_hits
 FROM r JOIN documents USING (doc_id) WHERE rank <= 30 GROUP BY ALL"""
 )
 def bm25_multi_subquery_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All questions as sub-queries of one: page scores over their top 30."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return search.page_scores(_bm25(spark, sf_dir).join(d, "doc_id"), ["source", "doc_id"]).select("source", "doc_id", F.round("score", 4).alias("score"), "n_hits")
+    return search.page_scores(_bm25(spark, sf_dir).join(d, "doc_id"), ["source", "doc_id"]).select("source", "doc_id", "score", "n_hits")
 
 
 DENSE_SQL = """
@@ -67,10 +67,10 @@ def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return search.dense(e, e.filter("vec_id % 100 = 0"), "vec_id", "embedding", k)
 
 
-@R.add(DENSE_SQL + "SELECT probe, vec_id, round(score, 4) AS score, rank FROM r WHERE rank <= 30")
+@R.add(DENSE_SQL + "SELECT probe, vec_id, score, rank FROM r WHERE rank <= 30")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 30 nearest vectors of each probe."""
-    return _dense(spark, sf_dir, 30).select("probe", "vec_id", F.round("score", 4).alias("score"), "rank")
+    return _dense(spark, sf_dir, 30).select("probe", "vec_id", "score", "rank")
 
 
 @R.add(
@@ -86,13 +86,13 @@ def gradient_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     DENSE_SQL
-    + """SELECT probe, label, round(sum(score) / sqrt(count(*) + 1), 4) AS score, count(*) AS n_hits
+    + """SELECT probe, label, round(sum(score) / sqrt(count(*) + 1), 6) AS score, count(*) AS n_hits
 FROM r WHERE rank <= 30 GROUP BY ALL"""
 )
 def dense_label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours folded to labels by the saturating score."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return search.page_scores(_dense(spark, sf_dir, 30).join(e, "vec_id"), ["probe", "label"]).select("probe", "label", F.round("score", 4).alias("score"), "n_hits")
+    return search.page_scores(_dense(spark, sf_dir, 30).join(e, "vec_id"), ["probe", "label"]).select("probe", "label", "score", "n_hits")
 
 
 @R.add(
@@ -107,12 +107,12 @@ s AS (SELECT doc_id, pattern, match, round(weight * ln((n + 1) / (df + 1)) * lea
         * CASE WHEN regexp_matches(match, '^[\p{N}\p{P} ]+$') THEN 0.2 ELSE 1.0 END, 6) AS score
       FROM (SELECT doc_id, pattern, weight, unnest(m) AS match FROM h) JOIN df USING (pattern), n),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pattern, match) AS rank FROM s)
-SELECT doc_id, pattern, match, round(score, 4) AS score, rank FROM r WHERE rank <= 5"""
+SELECT doc_id, pattern, match, score, rank FROM r WHERE rank <= 5"""
 )
 def regex_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best pattern matches of each document."""
     hits = search.regex_hits(table(spark, sf_dir, "documents"), PATTERNS, "doc_id", "text")
-    return hits.select("doc_id", "pattern", "match", F.round("score", 4).alias("score"), "rank")
+    return hits.select("doc_id", "pattern", "match", "score", "rank")
 
 
 @R.add(
