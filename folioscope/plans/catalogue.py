@@ -7,11 +7,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import corpus, events, graphs, pages, relational, search
+from folioscope.plans import corpus, events, evidence, graphs, pages, relational, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[ModuleType] = [search, corpus, graphs, pages, events, relational]
+MODULES: list[ModuleType] = [search, corpus, evidence, graphs, pages, events, relational]
 
 
 def queries() -> dict[str, Query]:
