@@ -76,6 +76,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     sizes = marks.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = stored(index.rows().join(sizes.hint("merge"), "digest"), "digest-groups")
+    index.drop()
     hot = groups.filter(F.col("group_size") > max(1, n // HOT_SHARE))
     many = marks.join(F.broadcast(hot), "digest")
     few = marks.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(groups.hint("merge"), "digest")
