@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -120,10 +119,9 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT, seed: i
     """(a, b): links among distinct fingerprints (column fp) that join all that are within the radius."""
     masks = covering_masks(list(range(BITS)), radius, seed)
     keyed = distinct.select("fp", F.explode(_keys(F.col("fp"), masks)).alias("k")).select("fp", "k.t", "k.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = stored(sizes, "simhash-buckets")
-    crowded = sizes.filter(F.col("n") > split).select("t", "key")
-    shared = keyed.join(sizes.filter(F.col("n") <= split).select("t", "key"), ["t", "key"])
+    crowded = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > split).select("t", "key")
+    crowded = stored(crowded, "simhash-crowded")
+    shared = keyed.join(crowded, ["t", "key"], "left_anti")
 
     # In table t two close fingerprints differ in bits outside its mask only: a covering of those splits the bucket.
     inner = []
@@ -136,14 +134,48 @@ def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT, seed: i
         finer.select("fp", "t", "key", F.col("s.t").alias("u"), F.col("s.key").alias("sub"))
     )
 
-    def forest(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        a, b = bucket_forest(np.sort(group["fp"].to_numpy(np.int64)), radius)
-        return pd.DataFrame({"a": a, "b": b})
-
-    found = parts.groupBy("t", "key", "u", "sub").applyInPandas(forest, "a bigint, b bigint")
+    # Buckets lie together in sorted partitions and are read as they pass, many small ones at a time.
+    dealt = parts.repartition("t", "key", "u", "sub").sortWithinPartitions("t", "key", "u", "sub", "fp")
+    found = dealt.select("t", "key", "u", "sub", "fp").mapInArrow(_forests(radius), "a bigint, b bigint")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forests(radius: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def linked(cols: list[np.ndarray]) -> pa.RecordBatch:
+        """Forests of whole buckets, which stand in order."""
+        fp = cols[4]
+        edge = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0), [True]]))
+        first, size = edge[:-1], np.diff(edge)
+        two = first[size == 2]
+        near = np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= radius
+        a, b = [fp[two[near]]], [fp[two[near] + 1]]
+        for i, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            x, y = bucket_forest(fp[i : i + n], radius)
+            a.append(x)
+            b.append(y)
+        return record_batch(schema, a=np.concatenate(a), b=np.concatenate(b))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            cols = cols if rest is None else [np.concatenate(x) for x in zip(rest, cols, strict=True)]
+            if not len(cols[4]):
+                continue
+            # The last bucket may go on in the next batch.
+            same = np.all([c == c[-1] for c in cols[:4]], axis=0)
+            whole = len(same) - int(same.sum())
+            if whole:
+                yield linked([c[:whole] for c in cols])
+            rest = [c[whole:] for c in cols]
+        if rest is not None and len(rest[4]):
+            yield linked(rest)
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component with a link, by large-star and small-star rounds."""
     now = stored(edges.select("a", "b").filter("a <> b"), "stars")
