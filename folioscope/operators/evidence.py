@@ -98,7 +98,7 @@ def passage_top_clusters(edges: DataFrame, cluster: DataFrame, k: int) -> DataFr
 
 def alias_audit(alias: DataFrame) -> DataFrame:
     """One row: count, least and mean cosine, mean rerank score and edges by acceptor, from JSON features."""
-    f = alias.select(F.from_json("features_json", "cos_sim double, rerank double, accepted_by string").alias("f")).select("f.*")
+    f = alias.select(F.from_json("features_json", "cos_sim double, rerank double, accepted_by string").alias("f")).select("f.cos_sim", "f.rerank", F.coalesce("f.accepted_by", F.lit("unknown")).alias("accepted_by"))
     by = f.groupBy("accepted_by").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.collect_list(F.struct("accepted_by", "n"))).alias("by_acceptor"))
     return f.agg(F.count("*").alias("n"), F.min("cos_sim").alias("least"), F.avg("cos_sim").alias("mean"), F.avg("rerank").alias("rerank")).crossJoin(by)
 

@@ -77,3 +77,21 @@ def test_streams(spark, tmp_path):
     assert {r.status_to: r.allowed for r in spark.read.parquet(f"{tmp_path}/out2").collect()} == {"parsing": True, "ready": False, "indexing": True}
     lost = spark.createDataFrame([("parsing", None), ("ready", None)], "status string, error_msg string")
     assert {r.status: r.error_msg for r in E.reconcile(lost).collect()} == {"failed": "interrupted", "ready": None}
+
+
+def test_sql_functions(spark):
+    from folioscope.functions import sql
+
+    sql.register(spark)
+    rows = spark.sql("SELECT * FROM table_rows('<table><tr><th>H</th></tr><tr><td>a &amp; b</td></tr></table>')").collect()
+    assert [(r.table_no, r.row_no, r.text, r.is_header) for r in rows] == [(1, 1, "H", True), (1, 2, "a & b", False)]
+    got = spark.sql("SELECT page_number_of('p_0007') AS a, page_number_of('x') AS b, dot_product(array(1f, 2f), array(3f, 4f)) AS c, one_line('a\tb') AS d").first()
+    assert (got.a, got.b, got.c, got.d) == (7, None, 11.0, "a b")
+
+
+def test_running_ids(spark):
+    from folioscope.operators.export import running_ids
+
+    df = spark.createDataFrame([(x,) for x in "qwertyuiopasdfgh"], "x string").repartition(5)
+    got = {r.x: r.k for r in running_ids(df, [F.col("x")], "k", "k_%03d").collect()}
+    assert got == {x: f"k_{i + 1:03d}" for i, x in enumerate(sorted("qwertyuiopasdfgh"))}
