@@ -25,14 +25,15 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
     are few and reach the documents by a broadcast if they are counted to be.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(X.words(F.col("text")))).alias("word"))
-    wanted = small(terms.select("word").distinct())
+    words = terms.select("word").distinct()
+    few = F.broadcast if words.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS else lambda x: x
     listed = docs.select(id_col, X.words(F.col(text_col)).alias("_words"))
     totals = listed.agg(F.count("*").alias("n_docs"), F.avg(F.size("_words").cast("double")).alias("mean"))
-    tf = listed.select(id_col, F.size("_words").alias("length"), F.explode("_words").alias("word")).join(wanted, "word")
+    tf = listed.select(id_col, F.size("_words").alias("length"), F.explode("_words").alias("word")).join(few(words), "word")
     tf = tf.groupBy(id_col, "word").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(totals)).select("word", "mean", scores.bm25_idf(F.col("n_docs"), F.col("df")).alias("idf"))
-    hit = tf.join(small(idf), "word").join(small(terms), "word")
+    hit = tf.join(few(idf), "word").join(small(terms), "word")  # idf has no more rows than words
     total = hit.groupBy("query_id", id_col).agg(F.round(F.sum(scores.bm25(F.col("tf"), F.col("length"), F.col("mean"), F.col("idf"))), 6).alias("score"))
     return top_per_group(total, ["query_id"], [F.desc("score"), F.asc(id_col)], k)
 
