@@ -29,3 +29,18 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(5).count() == 5
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_training_data_operators(tmp_path):
+    """Without the llm subpackage and the pipeline the rest still imports."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    shutil.copytree(repo / "folioscope", tmp_path / "folioscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(catalogue.queries())), "False"], done.stderr
