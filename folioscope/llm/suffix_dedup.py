@@ -11,10 +11,13 @@ LENGTH bytes are compared as suffixes cut at that depth:
 3.  The other covering strings are sent, with their bytes, to their gram's bucket, where all of their
     suffixes are sorted: by multikey quicksort to SHALLOW bytes, then by blind tries, which look at one
     branching byte a node and at the common prefix lengths of the group, to LENGTH bytes. In each class of
-    suffixes with LENGTH bytes in common all but the first are repeats.
+    suffixes with LENGTH bytes in common all but the first are repeats. A gram with very many covering
+    strings (the border of a passage that a large part of all documents holds) isn't left to one bucket:
+    its windows are dealt out one by one by their own hash.
 4.  Repeats become spans, which are merged and cut from the documents.
 
-Steps 1 to 4 run as Spark shuffles over packed arrays. Covering strings count as equal by two 64-bit
+Steps 1 to 4 run as Spark shuffles over packed arrays. Before a shuffle each task combines what it holds:
+equal covering strings, and equal windows of hot grams, are settled there but for the first. Covering strings count as equal by two 64-bit
 hashes of their bytes and gram; all other comparisons are byte by byte.
 
 Defined cases: a null text is empty; texts of fewer than LENGTH bytes keep all bytes; null ids come
@@ -25,6 +28,7 @@ ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,10 @@ BUCKET_BYTES = 12_000_000
 BUCKET_STRINGS = 20_000
 #: Runs that a task holds before it passes them on.
 HELD_RUNS = 400_000
+#: A gram is hot with more covering strings than this, and more than one in HOT_SHARE of all; so there are
+#: HOT_SHARE hot grams at most, whatever the input.
+HOT_STRINGS = 80_000
+HOT_SHARE = 1000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -277,12 +285,17 @@ def _deal_runs(buckets: int, length: int, gram: int):
     def packed(held: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
         key = np.concatenate([np.full(len(r[0]), k, np.int64) for k, r in held])
         at, n, g, c = (np.concatenate([r[x] for _, r in held]) for x in range(4))
-        to = (g % np.uint64(buckets)).astype(np.int64)
+        # Of equal covering strings in this task, the later ones are repeats already: they travel in buckets
+        # of their own, below zero, so that no gram's bucket gathers them.
+        by = np.lexsort([at, key, n, c, g])
+        late = np.empty(len(g), bool)
+        late[by] = np.concatenate([[False], (g[by][1:] == g[by][:-1]) & (c[by][1:] == c[by][:-1]) & (n[by][1:] == n[by][:-1])])
+        to = np.where(late, -1 - key % buckets, (g % np.uint64(buckets)).astype(np.int64))
         by = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[by], np.arange(buckets + 1))
+        cut = np.searchsorted(to[by], np.arange(-buckets, buckets + 1))
         some = np.flatnonzero(np.diff(cut)).tolist()
         cols = {"gram": g[by], "cover": c[by], "key": key[by], "at": at[by].astype(np.int64), "n": n[by].astype(np.int32)}
-        return record_batch(PACKED, bucket=some, **{x: [v[cut[p] : cut[p + 1]].tobytes() for p in some] for x, v in cols.items()})
+        return record_batch(PACKED, bucket=[p - buckets for p in some], **{x: [v[cut[p] : cut[p + 1]].tobytes() for p in some] for x, v in cols.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -311,6 +324,8 @@ def _sift_runs(group: pa.Table) -> pa.Table:
     """Runs that repeat a covering string, and the first runs of grams with several covering strings."""
     g, c = _unpacked(group, "gram", np.uint64), _unpacked(group, "cover", np.uint64)
     key, at, n = _unpacked(group, "key", np.int64), _unpacked(group, "at", np.int64), _unpacked(group, "n", np.int32)
+    if group.column("bucket")[0].as_py() < 0:
+        return pa.table({"key": key, "at": at, "n": n, "gram": g.view(np.int64), "repeat": np.ones(len(g), bool)}, schema=RUN)
     by = np.lexsort([at, key, n, c, g])
     g, c, key, at, n = g[by], c[by], key[by], at[by], n[by]
     new_gram = np.concatenate([[True], g[1:] != g[:-1]])
@@ -324,9 +339,11 @@ STRINGS = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("at", pa.bin
 
 
 def _deal_strings(buckets: int, length: int):
-    """Packs the covering strings of a task's documents by bucket of their gram."""
+    """Packs the covering strings of a task's documents by bucket of their gram, and windows of hot grams by their hash."""
 
-    def packed(held: dict[int, list[tuple[int, int, int, bytes]]]) -> pa.RecordBatch:
+    def packed(held: dict[int, list[tuple[int, int, int, bytes]]], windows: dict[bytes, tuple[int, int]]) -> pa.RecordBatch:
+        for w, (key, at) in windows.items():
+            held.setdefault(buckets + zlib.crc32(w) % buckets, []).append((key, at, 1, w))
         cols = {k: [] for k in ("key", "at", "n", "data")}
         for rows in held.values():
             cols["key"].append(np.array([r[0] for r in rows], np.int64).tobytes())
@@ -337,19 +354,29 @@ def _deal_strings(buckets: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, int, int, bytes]]] = {}
+        windows: dict[bytes, tuple[int, int]] = {}
         size = 0
         for batch in batches:
             for key, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.encode()
                 for r in found:
                     string = raw[r["at"] : r["at"] + r["n"] + length - 1]
-                    held.setdefault(r["gram"] % buckets, []).append((key, r["at"], r["n"], string))
-                    size += len(string)
+                    if not r["hot"]:
+                        held.setdefault(r["gram"] % buckets, []).append((key, r["at"], r["n"], string))
+                        size += len(string)
+                        continue
+                    for i in range(r["n"]):
+                        w, place = string[i : i + length], (key, r["at"] + i)
+                        first = windows.setdefault(w, place)
+                        if first != place:  # the later of two equal windows is a repeat
+                            windows[w], late = min(first, place), max(first, place)
+                            held.setdefault(-1 - late[0] % buckets, []).append((*late, 1, b""))
+                        size += length
                 if size > 8_000_000:
-                    yield packed(held)
-                    held, size = {}, 0
-        if held:
-            yield packed(held)
+                    yield packed(held, windows)
+                    held, windows, size = {}, {}, 0
+        if held or windows:
+            yield packed(held, windows)
 
     return run
 
@@ -362,6 +389,8 @@ def _sort_strings(length: int):
 
     def run(group: pa.Table) -> pa.Table:
         key, at, n = _unpacked(group, "key", np.int64), _unpacked(group, "at", np.int64), _unpacked(group, "n", np.int32).astype(np.int64)
+        if group.column("bucket")[0].as_py() < 0:
+            return pa.table({"key": key, "start": at, "end": at + n + length - 1}, schema=SPAN)
         sizes = n + length - 1
         starts = _ranges(np.cumsum(sizes) - sizes, n)
         owner = np.repeat(np.arange(len(n)), n)
@@ -409,10 +438,13 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     found = stored(sifted, "suffix-runs")
 
     firsts = found.filter("NOT repeat")
-    buckets = firsts.count() // BUCKET_STRINGS + 1
-    lists = firsts.groupBy("key").agg(F.collect_list(F.struct("at", "n", "gram")).alias("found"))
+    n = firsts.count()
+    buckets = n // BUCKET_STRINGS + 1
+    hot = firsts.groupBy("gram").count().filter(F.col("count") > max(HOT_STRINGS, n // HOT_SHARE)).select("gram", F.lit(True).alias("hot"))
+    marked = firsts.join(F.broadcast(hot), "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    lists = marked.groupBy("key").agg(F.collect_list(F.struct("at", "n", "gram", "hot")).alias("found"))
     strings = texts.join(lists, "key").select("key", "text", "found")
-    dealt = strings.mapInArrow(_deal_strings(int(buckets), length), "bucket int, key binary, at binary, n binary, data binary")
+    dealt = strings.mapInArrow(_deal_strings(buckets, length), "bucket int, key binary, at binary, n binary, data binary")
     sorted_ = dealt.groupBy("bucket").applyInArrow(_sort_strings(length), "key bigint, start bigint, end bigint")
     whole = found.filter("repeat").select("key", F.col("at").alias("start"), (F.col("at") + F.col("n") + F.lit(length - 1)).alias("end"))
     return whole.unionByName(sorted_)

@@ -237,6 +237,16 @@ def test_suffix_dedup(docs, empty, spark):
     assert sorted(r.n_removed == r.n_bytes for r in suffix_dedup.remove_repeats(twice).filter("doc_id = 7").collect()) == [False, True]
 
 
+def test_suffix_dedup_hot_grams(spark, docs, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_STRINGS", 1)
+    monkeypatch.setattr(suffix_dedup, "HOT_SHARE", 10**9)
+    random.seed(12)
+    word = lambda: "".join(random.choices("abcdefgh ", k=random.randint(20, 90)))
+    made = [(i, word() + COPY + word() + (COPY[20:] if i % 3 else "") + word()) for i in range(60)]
+    check_removed(suffix_dedup.remove_repeats(spark.createDataFrame(made, "doc_id long, text string")), made, 100)
+    check_removed(suffix_dedup.remove_repeats(docs), TEXTS, 100)
+
+
 def test_suffix_dedup_on_the_table(spark, table):
     some = [(i, t) for i, t in table if len(t) < 6000][:120]
     df = spark.createDataFrame(some, "doc_id long, text string")
