@@ -145,6 +145,14 @@ def collapse(edges: DataFrame, canonical: DataFrame) -> tuple[DataFrame, DataFra
     return out, hidden
 
 
+def visible(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (node, hidden) that aren't hidden, and the edges (src, dst, weight) among them."""
+    seen = vertices.filter(~F.coalesce("hidden", F.lit(False)))
+    gone = vertices.filter(F.coalesce("hidden", F.lit(False))).select("node")
+    kept = edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    return seen, kept.select("src", "dst", "weight")
+
+
 def chase(pairs: DataFrame, rounds: int = 16) -> DataFrame:
     """(node, root): follows other -> canonical until nothing changes; a cycle ends at its least node."""
     now = written(pairs.select("node", F.col("canonical").alias("root")), "chase")

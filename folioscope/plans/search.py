@@ -130,7 +130,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     r"""
-WITH s AS (SELECT doc_id, source, (len(text) - len(replace(lower(text), 'worthless', ''))) AS x,
+WITH s AS (SELECT doc_id, source,
   CAST(len(regexp_extract_all(lower(text), 'the')) + len(regexp_extract_all(lower(text), 'tion')) AS BIGINT) AS score FROM documents)
 SELECT source, doc_id, score, rank FROM (SELECT source, doc_id, score, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
 )

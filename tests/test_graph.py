@@ -79,3 +79,9 @@ def test_salted_and_as_of(spark):
     a = spark.createDataFrame([(1, 5, "x"), (1, 1, "y"), (2, 9, "z")], "k long, t long, n string")
     b = spark.createDataFrame([(1, 2, 20), (1, 5, 50), (1, 6, 60)], "k long, t long, w long")
     assert {r.n: r.w for r in relational.as_of(a, b, "k", "t", ["w"]).collect()} == {"x": 50, "y": None, "z": None}
+
+
+def test_visible(spark):
+    v = spark.createDataFrame([("a1", False), ("a2", True), ("p1", None)], "node string, hidden boolean")
+    seen, kept = graph.visible(v, edges(spark))
+    assert sorted(r.node for r in seen.collect()) == ["a1", "p1"] and not kept.filter("src = 'a2'").count() and kept.filter("src = 'a1'").count() == 2

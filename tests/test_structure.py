@@ -52,3 +52,10 @@ def test_blocks_and_pages(spark):
     assert [(r.passage_id, r.text) for r in S.content_blocks(df).orderBy("passage_id").collect()] == [("f/p_0001:p_0001", "first"), ("f/p_0001:p_0002", "second")]
     both = spark.createDataFrame([("f", f"one\n\n{S.PAGE_MARKER}\n\ntwo")], "id string, text string")
     assert [(r.page, r.text.strip()) for r in S.pages_of(both, "id", "text").orderBy("page").collect()] == [(1, "one"), (2, "two")]
+
+
+def test_markdown_blocks(spark):
+    md = "intro line\nsame paragraph\n\n# Head\nbody\n\n![x](y.png)\n\n<!-- note -->\n\nend"
+    df = spark.createDataFrame([("f", 1, md), ("g", 1, None), ("h", 1, "")], "file_id string, page long, text string")
+    got = [(r.kind, r.text) for r in S.markdown_blocks(df).orderBy("pos").collect()]
+    assert got == [("paragraph", "intro line\nsame paragraph"), ("heading", "Head"), ("paragraph", "body"), ("paragraph", "end")]
