@@ -28,13 +28,14 @@ def neighbours(df: DataFrame, group: str, order: str, values: list[str], block:
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group with their rank. Rows past k go early, before the shuffle's last stage."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
+    top = df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
+    return top.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
     """The first k rows overall with their rank: a distributed top-k, then a window over its k rows."""
     top = df.orderBy(*order).limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def value_at_quantile(df: DataFrame, value: str, q: float) -> DataFrame:

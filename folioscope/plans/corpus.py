@@ -108,7 +108,7 @@ def entity_passage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     """
 WITH o AS (SELECT source, doc_id, md5(text) AS h, lead(md5(text)) OVER (PARTITION BY source ORDER BY doc_id) AS nx FROM documents)
-SELECT DISTINCT 'passage-' || least(h, nx) AS passage_a, 'passage-' || greatest(h, nx) AS passage_b, 1.0 AS weight FROM o WHERE nx IS NOT NULL AND h <> nx"""
+SELECT DISTINCT 'passage-' || least(h, nx) AS passage_a, 'passage-' || greatest(h, nx) AS passage_b, CAST(1.0 AS DOUBLE) AS weight FROM o WHERE nx IS NOT NULL AND h <> nx"""
 )
 def adjacent_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of following pages of a file."""
@@ -228,7 +228,7 @@ def script_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(
     "WITH "
     + MENTIONS
-    + """SELECT surface, round(-0.05 * length(surface), 6) AS quality, CASE WHEN surface LIKE 'the %' THEN 1 ELSE 0 END AS article FROM (SELECT DISTINCT surface FROM men)"""
+    + """SELECT surface, CAST(round(-0.05 * length(surface), 6) AS DOUBLE) AS quality, CASE WHEN surface LIKE 'the %' THEN 1 ELSE 0 END AS article FROM (SELECT DISTINCT surface FROM men)"""
 )
 def surface_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of surfaces as names; here without brackets, so length decides."""

@@ -135,7 +135,7 @@ def surface_idf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     """
-WITH e AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem), f AS (SELECT DISTINCT 'o' || o AS src, 'p' || p AS dst, 1.0 AS weight FROM e),
+WITH e AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem), f AS (SELECT DISTINCT 'o' || o AS src, 'p' || p AS dst, CAST(1.0 AS DOUBLE) AS weight FROM e),
 h AS (SELECT src, dst, weight, row_number() OVER (ORDER BY src, dst) AS k FROM f QUALIFY k <= 2500),
 s AS (SELECT node, min(k) AS k FROM (SELECT src AS node, k FROM h UNION ALL SELECT dst, k FROM h) GROUP BY 1),
 r AS (SELECT h.*, sum(coalesce(n, 0)) OVER (ORDER BY h.k) AS nodes FROM h LEFT JOIN (SELECT k, count(*) AS n FROM s GROUP BY 1) c ON c.k = h.k)

@@ -121,7 +121,7 @@ def relational_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         "event_id",
         F.lag("value").over(w).alias("before"),
-        F.ntile(4).over(w).alias("part"),
+        F.ntile(4).over(w).cast("bigint").alias("part"),
         F.round(F.avg("value").over(w.rowsBetween(-2, 0)), 6).alias("mean3"),
         F.round(F.percent_rank().over(w), 6).alias("pr"),
     )
