@@ -193,6 +193,19 @@ def shard_hits(numbers: list[np.ndarray], windows: Windows) -> tuple[np.ndarray,
     return document, first - (np.cumsum(sizes + 1) - sizes - 1)[document], which
 
 
+def hit_documents(numbers: list[np.ndarray], windows: Windows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, its windows, which of its words are hit) for the shard's documents with hits."""
+    document, first, which = shard_hits(numbers, windows)
+    order = np.argsort(document, kind="stable")
+    cut = np.searchsorted(document[order], np.arange(len(numbers) + 1))
+    for d in np.unique(document).tolist():
+        own = order[cut[d] : cut[d + 1]]
+        change = np.zeros(len(numbers[d]) + 1, np.int64)
+        np.add.at(change, first[own], 1)
+        np.add.at(change, first[own] + windows.sizes[which[own]], -1)
+        yield d, np.unique(which[own]), np.cumsum(change[:-1]) > 0
+
+
 def word_spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     """Maximal runs of hit words: numbers of the first word and the one after the last, and the bytes they cover."""
     ends = [m.span() for m in WORD.finditer(text.encode().lower())]
@@ -208,17 +221,10 @@ def _searcher(windows: Windows, id_type: pa.DataType):
     schema = pa.schema([("doc_id", id_type), ("n_words", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(SPAN))])
 
     def shard(ids: list, texts: list, numbers: list[np.ndarray]) -> pa.RecordBatch:
-        document, first, which = shard_hits(numbers, windows)
         items, spans = [[] for _ in ids], [[] for _ in ids]
-        order = np.argsort(document, kind="stable")
-        cut = np.searchsorted(document[order], np.arange(len(ids) + 1))
-        for d in np.unique(document).tolist():
-            own = order[cut[d] : cut[d + 1]]
-            change = np.zeros(len(numbers[d]) + 1, np.int64)
-            np.add.at(change, first[own], 1)
-            np.add.at(change, first[own] + windows.sizes[which[own]], -1)
-            items[d] = sorted({x for w in np.unique(which[own]).tolist() for x in windows.items[w]})
-            spans[d] = word_spans(texts[d], np.cumsum(change[:-1]) > 0)
+        for d, found, hit in hit_documents(numbers, windows):
+            items[d] = sorted({x for w in found.tolist() for x in windows.items[w]})
+            spans[d] = word_spans(texts[d], hit)
         return record_batch(schema, doc_id=ids, n_words=[len(x) for x in numbers], items=items, spans=spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,11 +306,64 @@ def find_benchmark(
     return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
 
-def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the merged spans cut from the texts; rows without hits and all other columns stay as they are."""
-    found = find_benchmark(docs, benchmark, id_col, text_col).filter("n_hit > 0")
+def _cutter(windows: Windows, column: int):
+    """Cuts the spans from a column's texts and passes all other columns on."""
+
+    def cut(text: str, hit: np.ndarray) -> str:
+        raw, at, kept = text.encode(), 0, []
+        for s in word_spans(text, hit):
+            kept.append(raw[at : s["start"]])
+            at = s["end"]
+        return b"".join([*kept, raw[at:]]).decode()
+
+    def shard(held: list[pa.RecordBatch], numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        hits = {d: hit for d, _, hit in hit_documents(numbers, windows)}
+        at = 0
+        for batch in held:
+            own = {d - at: hits[d] for d in range(at, at + batch.num_rows) if d in hits}
+            at += batch.num_rows
+            if own:
+                texts = batch.column(column).to_pylist()
+                for row, hit in own.items():
+                    texts[row] = cut(texts[row], hit)
+                columns = list(batch.columns)
+                columns[column] = pa.array(texts, batch.schema.field(column).type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            yield batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = windows.vocabulary.get
+        held: list[pa.RecordBatch] = []
+        numbers: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for text in batch.column(column).to_pylist():
+                found = words(text)
+                numbers.append(np.fromiter((number(w, 0) for w in found), np.int32, len(found)))
+                size += len(found) + 1
+            held.append(batch)
+            if size >= SHARD_WORDS:
+                yield from shard(held, numbers)
+                held, numbers, size = [], [], 0
+        if held:
+            yield from shard(held, numbers)
+
+    return run
+
+
+def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with the merged spans cut from the texts; rows without hits and all other columns stay as they are.
+
+    With one block of benchmark text, texts are cut where they are, without a join. With more, the spans
+    of all blocks are united first and joined to the documents by id.
+    """
+    blocks = [Windows(items) for items in _blocks(benchmark, "item_id", "text", block_bytes)]
+    if len(blocks) == 1:
+        small_batches(docs.sparkSession)
+        return docs.mapInArrow(_cutter(blocks[0], docs.columns.index(text_col)), docs.schema)
+    found = find_benchmark(docs, benchmark, id_col, text_col, block_bytes=block_bytes).filter("n_hit > 0")
     marks = found.select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans")).dropDuplicates(["_cut_id"])
-    joined = docs.join(marks, docs[id_col] == marks["_cut_id"], "left")
+    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_cut_id"]), "left")
     raw = F.encode(F.col(text_col), "UTF-8")
     # What stays: from the end of each span, or the text's front, to the start of the next, or the text's end.
     starts = F.concat(F.transform("_cut_spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("bigint")))
@@ -312,7 +371,7 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     kept = F.transform(
         F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda s: F.decode(F.substring(raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")), "UTF-8")
     )
-    text = F.when(F.col("_cut_id").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    text = F.when(F.col("_cut_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -26,8 +26,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,9 +225,16 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows predicted toxic; every column stays."""
-    gone = toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """docs without the rows predicted toxic; every column stays. Rows are scored where they are: no join, no shuffle."""
+    model = train(docs.filter(~held_out()), labels.filter(~held_out()))
+
+    @F.pandas_udf("double")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = model.scorer()
+        for texts in parts:
+            yield texts.map(lambda t: score(t if isinstance(t, str) else None)).astype(float)
+
+    return docs.filter(scored("text") < 0.5)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

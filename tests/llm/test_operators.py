@@ -144,7 +144,7 @@ def test_decontamination(spark, docs, empty, block_bytes):
         assert (got[i].n_words, got[i].n_hit, got[i].items) == (n, hit, found), i
     assert decontaminate.find_benchmark(empty, bench).count() == 0
     assert decontaminate.find_benchmark(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
-    cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, bench).collect()}
+    cut = {r.doc_id: r.text for r in decontaminate.cut_spans(docs, bench, block_bytes=block_bytes).collect()}
     assert cut[1] == "Alpha beta . " + COPY and cut[2] is None and cut[9] == dict(TEXTS)[9] and "lazy dog" not in cut[7] and len(cut) == len(TEXTS)
 
 
