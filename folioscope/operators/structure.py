@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The page marker of combined texts, and characters of a packed passage.
 PAGE_MARKER = "<!-- agentic:batch_boundary -->"
 PASSAGE_BUDGET = 1200
 
