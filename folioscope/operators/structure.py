@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The page marker of combined texts, and characters of a packed passage.
-PAGE_MARKER = "<!-- agentic:batch_boundary -->"
+PAGE_MARKER = "<!-- batch_boundary -->"
+#: How the marker may stand in a text: a prefix before the name is left open.
+PAGE_MARKER_PATTERN = r"<!-- *(?:\w+:)?batch_boundary *-->"
 PASSAGE_BUDGET = 1200
 
 
 def pages_of(combined: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Numbered pages of a combined text, split at the page marker."""
-    parts = F.split(F.col(text_col), r"\Q" + PAGE_MARKER + r"\E")
+    parts = F.split(F.col(text_col), PAGE_MARKER_PATTERN)
     return combined.select(id_col, F.posexplode(parts).alias("p", "text")).select(id_col, (F.col("p") + 1).alias("page"), F.trim("text").alias("text"))
 
 

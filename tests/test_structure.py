@@ -50,8 +50,8 @@ def test_blocks_and_pages(spark):
     rows = [("f", "p_0001", [("text", "second", 2, None), ("Paragraph_Title", "first", 1, None), ("image", "no", 3, None), ("text", " ", 4, None)])]
     df = spark.createDataFrame(rows, f"file_id string, page_id string, layout_blocks array<{block}>")
     assert [(r.passage_id, r.text) for r in S.content_blocks(df).orderBy("passage_id").collect()] == [("f/p_0001:p_0001", "first"), ("f/p_0001:p_0002", "second")]
-    both = spark.createDataFrame([("f", f"one\n\n{S.PAGE_MARKER}\n\ntwo")], "id string, text string")
-    assert [(r.page, r.text.strip()) for r in S.pages_of(both, "id", "text").orderBy("page").collect()] == [(1, "one"), (2, "two")]
+    both = spark.createDataFrame([("f", f"one\n\n{S.PAGE_MARKER}\n\ntwo<!-- any:batch_boundary -->")], "id string, text string")
+    assert [(r.page, r.text.strip()) for r in S.pages_of(both, "id", "text").orderBy("page").collect()] == [(1, "one"), (2, "two"), (3, "")]
 
 
 def test_markdown_blocks(spark):
