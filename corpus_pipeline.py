@@ -5,7 +5,9 @@ documents:
 
 1. toxicity: rows predicted toxic go; the model learns from the stage's own input and the labels table.
 2. exact dedup: of equal texts the row with the largest doc_id stays.
-3. SimHash near-dedup: of each component the row with the smallest doc_id stays.
+3. SimHash near-dedup: of each component the row with the smallest doc_id stays. Links are op4's: three-word
+   fingerprints within 3 of 64 bits. Most near copies with a few changed words are further apart and stay;
+   README has the measured share.
 4. benchmark decontamination: merged spans of benchmark words are cut from the texts, n_chars follows;
    a row that has nothing but such spans keeps an empty text.
 5. BPE encoding and decoding: token counts and digests of the texts that are left.
