@@ -9,7 +9,8 @@ sampled position. Every place found is compared with the window word for word, a
 are merged to spans.
 
 Benchmark windows are sent to the tasks in blocks of at most BLOCK_BYTES of benchmark text; further
-blocks are further passes over the documents, whose results are added up.
+blocks are further passes over the documents, one after the other, whose results are added up row by row:
+each row has a key of its own for that, so rows that share an id, or have none, are answered each by itself.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no windows;
 items of one id count once; an empty benchmark marks nothing; empty documents give no rows; other
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, small_batches, table
+from folioscope.llm.common import id_and_text, record_batch, small_batches, stored, table
 
 WINDOW = 10
 #: Words of one shard, and distance of sampled suffix positions.
@@ -249,14 +250,21 @@ def _searcher(windows: Windows, id_type: pa.DataType):
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """Benchmark items in blocks of bounded size; the size is asked first."""
+Block = list[tuple[str, str | None]]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> tuple[int, Iterator[Block]]:
+    """The number of blocks, asked first, and benchmark items in blocks of bounded size, each read when it is due."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter(F.col("item").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // block_bytes) + 1
-    for k in range(parts):
-        block = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
-        yield [(r["item"], r["text"]) for r in block.toLocalIterator()]
+
+    def read() -> Iterator[Block]:
+        for k in range(parts):
+            block = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == k)
+            yield [(r["item"], r["text"]) for r in block.toLocalIterator()]
+
+    return parts, read()
 
 
 def _union(acc, span):
@@ -270,6 +278,34 @@ def _union(acc, span):
     )
 
 
+FOUND = f"n_words bigint, items array<string>, spans {SPANS}"
+
+
+def _rows_found(rows: DataFrame, blocks: Iterator[Block], window: int) -> DataFrame:
+    """(row, n_words, items, spans) of every row (row, text), row being a key.
+
+    A block's pass is run and written before the next block is read, so one block of windows is held at a time.
+    """
+    parts: list[DataFrame] = []
+
+    def search(items: Block) -> None:
+        part = rows.mapInArrow(_searcher(Windows(items, window), pa.int64()), f"doc_id bigint, {FOUND}")
+        # The first pass tells the words of all rows; further ones have to tell hits only.
+        parts.append(stored(part.filter(F.size("spans") > 0) if parts else part, "benchmark-hits"))
+
+    for items in blocks:
+        search(items)
+        del items
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found.groupBy(F.col("doc_id").alias("row")).agg(
+        F.max("n_words").alias("n_words"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.aggregate(F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast(SPANS), _union).alias("spans"),
+    )
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -282,26 +318,20 @@ def find_benchmark(
 ) -> DataFrame:
     """For each document: doc_id, n_words, n_hit, items (ids sorted as strings) and merged spans.
 
-    A span has the numbers of its first word and of the word after its last, and its UTF-8 bytes. With
-    more than one block, rows that repeat an id are united.
+    A span has the numbers of its first word and of the word after its last, and its UTF-8 bytes.
     """
     small_batches(docs.sparkSession)
     source = id_and_text(docs, id_col, text_col)
     number = source.schema["doc_id"].dataType.simpleString() == "bigint"
     if not number:
         source = source.withColumn("doc_id", F.col("doc_id").cast("string"))
-    schema = f"doc_id {'bigint' if number else 'string'}, n_words bigint, items array<string>, spans {SPANS}"
-    blocks = [Windows(items, window) for items in _blocks(benchmark, item_col, item_text_col, block_bytes)]
-    parts = [source.mapInArrow(_searcher(x, pa.int64() if number else pa.string()), schema) for x in blocks]
-    found = parts[0]
-    if len(parts) > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.aggregate(F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast(SPANS), _union).alias("spans"),
-        )
+    parts, blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    if parts == 1:
+        windows = Windows(next(blocks), window)
+        found = source.mapInArrow(_searcher(windows, pa.int64() if number else pa.string()), f"doc_id {'bigint' if number else 'string'}, {FOUND}")
+    else:
+        keyed = stored(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "benchmark-rows")
+        found = keyed.select("row", "doc_id").join(_rows_found(keyed.select("row", "text"), blocks, window), "row")
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["after"] - s["first"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), "items", "spans")
 
@@ -354,16 +384,19 @@ def _cutter(windows: Windows, column: int):
 def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the merged spans cut from the texts; rows without hits and all other columns stay as they are.
 
-    With one block of benchmark text, texts are cut where they are, without a join. With more, the spans
-    of all blocks are united first and joined to the documents by id.
+    With one block of benchmark text, texts are cut where they are, without a join. With more, each row gets
+    a key, the spans of all blocks are united and joined to the rows by that key.
     """
-    blocks = [Windows(items) for items in _blocks(benchmark, "item_id", "text", block_bytes)]
-    if len(blocks) == 1:
-        small_batches(docs.sparkSession)
-        return docs.mapInArrow(_cutter(blocks[0], docs.columns.index(text_col)), docs.schema)
-    found = find_benchmark(docs, benchmark, id_col, text_col, block_bytes=block_bytes).filter("n_hit > 0")
-    marks = found.select(F.col("doc_id").alias("_cut_id"), F.col("spans").alias("_cut_spans")).dropDuplicates(["_cut_id"])
-    joined = docs.join(marks, docs[id_col].eqNullSafe(marks["_cut_id"]), "left")
+    small_batches(docs.sparkSession)
+    parts, blocks = _blocks(benchmark, "item_id", "text", block_bytes)
+    if parts == 1:
+        return docs.mapInArrow(_cutter(Windows(next(blocks)), docs.columns.index(text_col)), docs.schema)
+    key = "_cut_row"
+    while key in docs.columns:
+        key += "_"
+    keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "benchmark-rows")
+    found = _rows_found(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")), blocks, WINDOW).filter(F.size("spans") > 0)
+    joined = keyed.join(found.select(F.col("row").alias(key), F.col("spans").alias("_cut_spans")), key, "left")
     raw = F.encode(F.col(text_col), "UTF-8")
     # What stays: from the end of each span, or the text's front, to the start of the next, or the text's end.
     starts = F.concat(F.transform("_cut_spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("bigint")))

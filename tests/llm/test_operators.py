@@ -148,6 +148,18 @@ def test_decontamination(spark, docs, empty, block_bytes):
     assert cut[1] == "Alpha beta . " + COPY and cut[2] is None and cut[9] == dict(TEXTS)[9] and "lazy dog" not in cut[7] and len(cut) == len(TEXTS)
 
 
+def test_decontamination_blocks_keep_rows_apart(spark):
+    """Rows of one id, or of none, get the same with many blocks as with one."""
+    texts = [(1, "gamma delta stays here"), (1, "déjà vu gamma delta"), (1, "clean text, nothing in it"), (None, "lazy dog öh"), (None, "ö ö ö clean"), (2, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    bench = spark.createDataFrame([(f"b{k}", t) for k, t in enumerate(["gamma delta", "lazy dog", "delta stays", "x y z " * 20])], "item_id string, text string")
+    assert decontaminate._blocks(bench, "item_id", "text", 20)[0] > 1
+    for make in (decontaminate.find_benchmark, decontaminate.cut_spans):
+        one, many = (sorted(map(str, make(docs, bench, block_bytes=n).collect())) for n in (16_000_000, 20))
+        assert len(one) == len(texts) and one == many
+    assert {r.text for r in decontaminate.cut_spans(docs, bench, block_bytes=20).collect()} == {" here", "déjà vu ", "clean text, nothing in it", " öh", "ö ö ö clean", None}
+
+
 def test_fm_index():
     rng = np.random.default_rng(4)
     for _ in range(60):
