@@ -146,6 +146,17 @@ def connected_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(links)
 
 
+@R.add()
+def surface_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages linked by any surface they share, however many passages it stands in: each hangs on the surface's least passage.
+
+    It has no SQL counterpart: the recursion over all reachable pairs is too large. A test holds it against union-find.
+    """
+    e = _edges(spark, sf_dir)
+    root = e.groupBy("src").agg(F.min("dst").alias("root"))
+    return graph.components(e.join(root, "src").filter("dst <> root").select(F.col("dst").alias("src"), F.col("root").alias("dst")))
+
+
 ROLL = """
 WITH c AS (SELECT CAST(label AS VARCHAR) AS cluster, CAST(vec_id AS VARCHAR) AS node, CAST(vec_id % 17 AS DOUBLE) AS score FROM embeddings)
 """

@@ -30,6 +30,30 @@ def test_components_and_quotient(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_surface_components_link_by_every_shared_surface(spark):
+    from folioscope.plans import graphs
+
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.surface, r.passage) for r in graphs.mentions(spark, sf).collect()]
+    up = {p: p for _, p in rows}
+
+    def root(p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    first = {}
+    for s, p in rows:
+        a, b = sorted((root(first.setdefault(s, p)), root(p)))
+        up[b] = a
+    size = {}
+    for p in up:
+        size[root(p)] = size.get(root(p), 0) + 1
+    got = {r.node: r.component for r in graphs.surface_components(spark, sf).collect()}
+    assert got == {p: root(p) for p in up if size[root(p)] > 1}
+    assert len(got) > graphs.connected_components(spark, sf).count()  # surfaces of three and more passages link too
+
+
 def test_neighbourhood_and_induced(spark):
     seeds = spark.createDataFrame([("a2",)], "node string")
     got = {r.node: r.hop for r in graph.neighbourhood(edges(spark), seeds, 3).collect()}
