@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -146,12 +146,15 @@ def seed_search(probes: DataFrame, stored: DataFrame, k: int = 50, floor: float
     return gradient_cut(top_per_group(scored.filter(F.col("sim") >= floor), ["probe"], [F.desc("sim"), F.asc("node")], k), "probe", "sim", floor, drop)
 
 
-def idf_jaccard(left: DataFrame, right: DataFrame, idf: DataFrame) -> DataFrame:
-    """(a, b, overlap): weight of common tokens over weight of all, for pairs with a common token. Rows (key, token)."""
+def idf_jaccard(left: DataFrame, right: DataFrame, idf: DataFrame, hint: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(a, b, overlap): weight of common tokens over weight of all, for pairs with a common token. Rows (key, token).
+
+    hint is put on the left rows where they meet the right ones.
+    """
     weigh = lambda df: df.distinct().join(idf, "token")
     a, b = weigh(left).withColumnRenamed("key", "a"), weigh(right).withColumnRenamed("key", "b")
     total_a, total_b = a.groupBy("a").agg(F.sum("idf").alias("_ta")), b.groupBy("b").agg(F.sum("idf").alias("_tb"))
-    common = a.join(b.drop("idf"), "token").groupBy("a", "b").agg(F.sum("idf").alias("_c"))
+    common = b.drop("idf").join(hint(a), "token").groupBy("a", "b").agg(F.sum("idf").alias("_c"))
     j = common.join(total_a, "a").join(total_b, "b")
     return j.select("a", "b", (F.col("_c") / (F.col("_ta") + F.col("_tb") - F.col("_c"))).alias("overlap"))
 

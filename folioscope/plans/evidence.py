@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators import evidence, graph
+from folioscope.operators import evidence, graph, search
 from folioscope.plans.base import MENTIONS, SENTENCES, Registry, mentions, passages, sentence_rows, table
 
 R = Registry()
 
+#: (question, token) rows that may be sent to all tasks.
+QUESTION_TOKENS = 200_000
+
 
 @R.add("WITH " + MENTIONS + "SELECT surface, passage, doc_id, source FROM men JOIN (SELECT doc_id, source, 'passage-' || md5(text) AS passage FROM documents) USING (passage) WHERE regexp_matches(surface, '^then')")
 def surface_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +136,27 @@ def surface_idf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.idf_jaccard(evidence.tokens_of(q, "item_id", "text"), t, idf).select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
+@R.add(
+    """
+WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM benchmark),
+i AS (SELECT token, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 0.5)) AS idf FROM t GROUP BY 1),
+a AS (SELECT item_id, token, idf FROM q JOIN i USING (token)), b AS (SELECT doc_id, token, idf FROM t JOIN i USING (token)),
+c AS (SELECT item_id, doc_id, sum(a.idf) AS c FROM a JOIN b USING (token) GROUP BY ALL)
+SELECT item_id AS a, doc_id AS b, round(c / (ta + tb - c), 6) AS overlap FROM c
+JOIN (SELECT item_id, sum(idf) AS ta FROM a GROUP BY 1) USING (item_id) JOIN (SELECT doc_id, sum(idf) AS tb FROM b GROUP BY 1) USING (doc_id)"""
+)
+def idf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted overlap of all questions and documents in all their words, frequent ones too."""
+    d, q = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    t = evidence.tokens_of(d, "doc_id", "text")
+    n = d.agg(F.count("*").alias("n"))
+    idf = t.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n).select("token", F.ln((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
+    # Frequent words meet the few question words by a broadcast, if those are counted to be few.
+    found = evidence.idf_jaccard(evidence.tokens_of(q, "item_id", "text"), t, graph.written(idf, "idf"), lambda rows: search.small(rows, QUESTION_TOKENS))
+    return found.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
 @R.add(
     """
 WITH e AS (SELECT l_orderkey AS o, l_partkey AS p FROM lineitem), f AS (SELECT DISTINCT 'o' || o AS src, 'p' || p AS dst, CAST(1.0 AS DOUBLE) AS weight FROM e),

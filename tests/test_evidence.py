@@ -78,3 +78,23 @@ def test_text_helpers(spark):
 def test_grep(spark):
     df = spark.createDataFrame([(1, "a\nHit\nb\nc\nhit"), (2, "none")], "id int, t string")
     assert [(r.line_no, r.hit) for r in E.grep(df, "id", "t", "hit", 1).orderBy("line_no").collect()] == [(1, False), (2, True), (3, False), (4, False), (5, True)]
+
+
+def test_idf_overlap_counts_frequent_words(spark):
+    import math
+
+    from folioscope.operators import evidence
+    from folioscope.plans.evidence import idf_overlap, surface_idf_overlap
+
+    sf = "/root/testdata/sf0.001"
+    token = lambda name, key: {r[key]: {t.token for t in evidence.tokens_of(spark.read.parquet(f"{sf}/{name}.parquet").filter(f"{key} = {r[key]}"), key, "text").collect()} for r in spark.read.parquet(f"{sf}/{name}.parquet").select(key).orderBy(key).limit(2).collect()}
+    d, q = token("documents", "doc_id"), token("benchmark", "item_id")
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    idf = {r.token: math.log((n + 1) / (r["count"] + 0.5)) for r in evidence.tokens_of(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text").distinct().groupBy("token").count().collect()}
+    got = {(r.a, r.b): r.overlap for r in idf_overlap(spark, sf).collect()}
+    for i, x in q.items():
+        for k, y in d.items():
+            x, both = x & idf.keys(), x & y
+            want = sum(map(idf.get, both)) / sum(map(idf.get, x | y)) if both else None
+            assert got.get((i, k)) is None if want is None else abs(got[i, k] - want) < 1e-6
+    assert len(got) > surface_idf_overlap(spark, sf).count()  # pairs that share frequent words only
