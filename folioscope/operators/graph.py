@@ -74,6 +74,20 @@ def quotient(edges: DataFrame, cluster: DataFrame) -> DataFrame:
     return e.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
+def quotient_pagerank(edges: DataFrame, cluster: DataFrame, reset: DataFrame, damping: float, rounds: int) -> DataFrame:
+    """(node, score) of PageRank on the quotient by clusters (node, cluster).
+
+    The reset (node, mass), negative masses as none, is summed for each super-node; each node of the edges
+    has the score of its super-node, so scores of the members of a cluster don't add up to one.
+    """
+    c = cluster.select("node", "cluster")
+    mass = F.when(F.col("mass") > 0, F.col("mass")).otherwise(0.0)
+    r = reset.join(c, "node", "left").groupBy(F.coalesce("cluster", "node").alias("node")).agg(F.sum(mass).alias("mass"))
+    x = pagerank(written(quotient(edges, c), "quotient"), r, damping, rounds).withColumnRenamed("node", "_super")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return nodes.join(c, "node", "left").withColumn("_super", F.coalesce("cluster", "node")).join(x, "_super").select("node", "score")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node of each component of (src, dst), by star contraction.
 

@@ -75,6 +75,33 @@ def ppr_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.quotient(e, c).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
+_QSTEPS = "".join(
+    f""", y{k + 1} AS MATERIALIZED (SELECT node, sum(s) AS s FROM (
+  SELECT sh.dst AS node, 0.5 * sum(y.s * sh.share) AS s FROM y{k} y JOIN sh ON y.node = sh.src GROUP BY 1
+  UNION ALL SELECT node, 0.5 * s FROM y0) GROUP BY 1)"""
+    for k in range(ROUNDS)
+)
+
+
+@R.add(
+    EDGES_SQL
+    + """, q AS MATERIALIZED (SELECT substr(src, 1, 4) AS src, dst, sum(w) AS w FROM ed GROUP BY 1, 2),
+both_ AS (SELECT src, dst, w FROM q UNION ALL SELECT dst, src, w FROM q),
+sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM both_),
+seed AS (SELECT DISTINCT src AS node FROM ed WHERE regexp_matches(src, '^(then|reth)')),
+y0 AS MATERIALIZED (SELECT substr(node, 1, 4) AS node, count(*) / (SELECT count(*) FROM seed) AS s FROM seed GROUP BY 1)"""
+    + _QSTEPS
+    + f""", m AS (SELECT DISTINCT src AS node, substr(src, 1, 4) AS super FROM ed UNION ALL SELECT DISTINCT dst, dst FROM ed)
+SELECT m.node, round(s, 8) AS score FROM m JOIN y{ROUNDS} y ON y.node = m.super WHERE round(s, 8) > 0"""
+)
+def ppr_supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personalised PageRank on the graph of contracted surfaces; every member has the score of its super-node."""
+    e = _edges(spark, sf_dir)
+    c = e.select(F.col("src").alias("node"), F.substring("src", 1, 4).alias("cluster")).distinct()
+    x = graph.quotient_pagerank(e, c, _seeds(e).withColumn("mass", F.lit(1.0)), 0.5, ROUNDS)
+    return x.select("node", F.round("score", 8).alias("score")).filter("score > 0")
+
+
 @R.add(EDGES_SQL + " SELECT src AS surface, count(*) AS passages, round(sum(w), 6) AS degree FROM ed GROUP BY 1")
 def entity_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages and summed weight of each surface."""

@@ -54,6 +54,17 @@ def test_surface_components_link_by_every_shared_surface(spark):
     assert len(got) > graphs.connected_components(spark, sf).count()  # surfaces of three and more passages link too
 
 
+def test_pagerank_on_the_quotient_goes_back_to_members(spark):
+    reset = spark.createDataFrame([("a1", 1.0), ("a2", 2.0), ("p3", 1.0), ("b1", -4.0)], "node string, mass double")
+    c = spark.createDataFrame([("a1", "A"), ("a2", "A"), ("b1", "B"), ("b2", "B")], "node string, cluster string")
+    got = {r.node: r.score for r in graph.quotient_pagerank(edges(spark), c, reset, 0.5, 8).collect()}
+    by_hand = spark.createDataFrame([("A", "p1", 1.5), ("A", "p2", 0.4), ("B", "p2", 0.9), ("c1", "p3", 1.0), ("c2", "p3", 0.5), ("d1", "p4", 1.0)], "src string, dst string, weight double")
+    want = {r.node: r.score for r in graph.pagerank(by_hand, spark.createDataFrame([("A", 3.0), ("p3", 1.0)], "node string, mass double"), 0.5, 8).collect()}
+    name = {"a1": "A", "a2": "A", "b1": "B", "b2": "B"}
+    assert abs(sum(want.values()) - 1) < 1e-9 and {"a1", "a2", "b1", "b2", "p1", "p2", "p3", "c1", "c2"} == set(got)
+    assert all(abs(x - want[name.get(n, n)]) < 1e-12 for n, x in got.items())
+
+
 def test_neighbourhood_and_induced(spark):
     seeds = spark.createDataFrame([("a2",)], "node string")
     got = {r.node: r.hop for r in graph.neighbourhood(edges(spark), seeds, 3).collect()}
