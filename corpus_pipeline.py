@@ -13,7 +13,8 @@ documents:
 5. BPE encoding and decoding: token counts and digests of the texts that are left.
 
 Null and empty texts pass every stage as empty texts; as equal texts they leave one row behind. Rows with
-a null doc_id are never removed by it. Empty tables give an empty result.
+a null doc_id go only in the exact dedup, where a row with an id has the same text. Rows go each by itself,
+also where ids repeat. Empty tables give an empty result.
 """
 
 from __future__ import annotations

@@ -54,6 +54,19 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def row_keys(df: DataFrame, id_col: str, text_col: str, null_first: bool) -> tuple[DataFrame, str]:
+    """df and the column that names its rows: the id, or else, where ids repeat or are null, a new key in the order of the ids."""
+    n, ids = df.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if n == ids:
+        return df, id_col
+    key = "_row_key"
+    while key in df.columns:
+        key += "_"
+    by = [F.col(id_col).asc_nulls_first() if null_first else F.col(id_col).asc_nulls_last(), F.col(text_col).asc_nulls_first()]
+    ranked = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    return stored(ranked.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(col).cast("string")) % n

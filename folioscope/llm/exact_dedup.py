@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, stored, table, work_dir
+from folioscope.llm.common import id_and_text, row_keys, stored, table, work_dir
 
 #: A digest held by more than one row in this many is joined as a broadcast row: there can be no more
 #: such digests than this, whatever the input.
@@ -90,10 +90,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id has; every other column stays."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept") & F.col("keep_id").isNotNull())
-    gone = gone.select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left_anti")
+    """docs with one row of each text, that of the largest id; every other column stays.
+
+    Rows go each by itself, also where ids repeat. Of rows that repeat the winner's id one stays; a text
+    that only rows without an id have keeps them all.
+    """
+    rows, key = row_keys(docs, id_col, text_col, null_first=True)
+    gone = exact_groups(rows, key, text_col).filter(~F.col("kept"))
+    if key != id_col:
+        # Rows without an id come first: a winner among them has no rival with an id.
+        least = rows.filter(F.col(id_col).isNotNull()).agg(F.min(key)).first()[0]
+        gone = gone.filter(F.col("keep_id") >= F.lit(least).cast("bigint"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"))
+    return rows.join(gone, rows[key] == gone["_gone_id"], "left_anti").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

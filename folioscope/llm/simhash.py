@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, small_batches, stored, table
+from folioscope.llm.common import id_and_text, record_batch, row_keys, small_batches, stored, table
 
 BITS = 64
 RADIUS = 3
@@ -211,9 +211,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows of a component other than that with its smallest id."""
-    gone = near_groups(docs, id_col, text_col).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone_id"], "left_anti")
+    """docs without the rows of a component other than that with its smallest id.
+
+    Rows go each by itself, also where ids repeat: of rows that repeat the smallest id of a component one
+    stays. Rows without an id stay.
+    """
+    rows, key = row_keys(docs, id_col, text_col, null_first=False)
+    gone = near_groups(rows, key, text_col).filter(F.col("doc_id") != F.col("component_id"))
+    if key != id_col:
+        last = rows.filter(F.col(id_col).isNotNull()).agg(F.max(key)).first()[0]
+        gone = gone.filter(F.col("doc_id") <= F.lit(last).cast("bigint"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"))
+    return rows.join(gone, rows[key] == gone["_gone_id"], "left_anti").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,20 @@ def test_exact_groups(docs, empty):
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "4", "6", "7", "8", "9", "10", "11", "12", "None"])
 
 
+def test_stages_remove_rows_and_not_ids(spark):
+    """Two texts of one id are two rows; equal rows of the winner's id leave one."""
+    far = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [(1, COPY), (2, COPY), (1, far), (2, COPY), (None, COPY), (None, "only here"), (None, "only here"), (3, "quite another text of some words")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(texts)], "doc_id long, text string, place int")
+    got = exact_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted([("2", COPY), ("1", far), ("None", "only here"), ("None", "only here"), ("3", texts[7][1])])
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    want = [("1", COPY), ("1", far), ("None", COPY), ("None", "only here"), ("None", "only here"), ("3", texts[7][1])]
+    assert sorted((str(r.doc_id), r.text) for r in got.collect()) == sorted(want)
+
+
 def test_exact_hot_group_and_index(spark):
     many = spark.createDataFrame([(i, "copy" if i % 3 else f"own {i}") for i in range(3000)], "doc_id long, text string")
     got = exact_dedup.exact_groups(many).groupBy("kept").count().collect()
