@@ -56,10 +56,17 @@ def page_scores(hits: DataFrame, keys: list[str], k: int | None = None) -> DataF
     return out if k is None else out.orderBy(F.desc("score"), *keys).limit(k)
 
 
-def fuse(channels: DataFrame, keys: list[str], k: int = scores.RRF_K, top: int = 30) -> DataFrame:
-    """Reciprocal rank fusion of rows (channel, keys, rank)."""
-    out = channels.groupBy(*keys).agg(F.round(F.sum(scores.reciprocal_rank(F.col("rank"), k)), 9).alias("score"), F.count_distinct("channel").alias("n_channels"))
-    return out.orderBy(F.desc("score"), *keys).limit(top)
+def fuse(channels: DataFrame, keys: list[str], k: int = scores.RRF_K, top: int = 30, query: list[str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of rows (channel, keys, rank); with query columns, the best of each query and their rank."""
+    if query:
+        out = fused(channels, [*query, *keys], k)
+        return top_per_group(out, query, [F.desc("score"), *map(F.asc, keys)], top)
+    return fused(channels, keys, k).orderBy(F.desc("score"), *keys).limit(top)
+
+
+def fused(channels: DataFrame, keys: list[str], k: int = scores.RRF_K) -> DataFrame:
+    """(keys, score, n_channels) of all rows (channel, keys, rank)."""
+    return channels.groupBy(*keys).agg(F.round(F.sum(scores.reciprocal_rank(F.col("rank"), k)), 9).alias("score"), F.count_distinct("channel").alias("n_channels"))
 
 
 def regex_hits(docs: DataFrame, patterns: list[tuple[str, str, float]], id_col: str, text_col: str, per_page: int = 5) -> DataFrame:

@@ -128,6 +128,24 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuse(words.unionByName(near), ["doc_id"], top=60).select("doc_id", F.round("score", 6).alias("score"), "n_channels")
 
 
+@R.add(
+    BM25_SQL
+    + """, e AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT p.vec_id AS query_id, v.vec_id AS doc_id, round(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings v, embeddings p WHERE p.vec_id % 100 = 0 AND v.vec_id <> p.vec_id)),
+c AS (SELECT 'bm25' AS channel, query_id, doc_id, rank FROM r WHERE query_id % 100 = 0 AND rank <= 30 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM e WHERE rank <= 30),
+f AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS s, count(DISTINCT channel) AS n_channels FROM c GROUP BY 1, 2)
+SELECT query_id, doc_id, round(s, 6) AS score, n_channels, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM f"""
+)
+def rrf_fusion_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and vector channels of every question and probe whose id is divisible by 100, fused for each id."""
+    d, asked = table(spark, sf_dir, "documents"), _queries(spark, sf_dir).filter("query_id % 100 = 0")
+    words = search.bm25(d, asked, "doc_id", "text", 30).select(F.lit("bm25").alias("channel"), "query_id", "doc_id", "rank")
+    near = _dense(spark, sf_dir, 30).select(F.lit("dense").alias("channel"), F.col("probe").alias("query_id"), F.col("vec_id").alias("doc_id"), "rank")
+    found = search.fuse(words.unionByName(near), ["doc_id"], top=60, query=["query_id"])
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "n_channels", "rank")
+
+
 @R.add(
     r"""
 WITH s AS (SELECT doc_id, source,

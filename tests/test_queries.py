@@ -44,3 +44,14 @@ def test_entry_without_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert done.stdout.split() == [str(len(catalogue.queries())), "False"], done.stderr
+
+
+def test_fusion_of_every_query(spark):
+    from folioscope.operators import search
+
+    rows = [("w", 0, 5, 1), ("w", 0, 6, 2), ("d", 0, 6, 1), ("w", 100, 5, 1), ("d", 100, 7, 2), ("d", 200, 8, 1)]
+    found = search.fuse(spark.createDataFrame(rows, "channel string, q long, doc long, rank int"), ["doc"], top=1, query=["q"])
+    assert sorted((r.q, r.doc, r.n_channels, r["rank"]) for r in found.collect()) == [(0, 6, 2, 1), (100, 5, 1, 1), (200, 8, 1, 1)]
+    asked = {r.query_id for r in catalogue.queries()["rrf_fusion_by_query"](spark, SF).select("query_id").distinct().collect()}
+    ids = [f"SELECT {c} FROM '{SF}/{t}.parquet' WHERE {c} % 100 = 0" for t, c in (("benchmark", "item_id"), ("embeddings", "vec_id"))]
+    assert asked == {r[0] for r in connect(SF).execute(" UNION ".join(ids)).fetchall()}
