@@ -134,6 +134,25 @@ def test_bpe_borders_fit_any_text():
         assert encoder.encode(t).tolist() == encoder.bpe.encode(t, allowed_special="all")
 
 
+def test_bpe_joins_agree_on_long_runs_and_any_script():
+    """Runs of one kind over many chunks, texts without a blank, cut contractions and late scripts equal the library."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = bpe.ChunkEncoder(bpe.default_vocabulary(), bpe.default_pattern())
+    for t in (" " * 5_000_000, "\n" * 2_000_000, "x" + " \t" * 400_000 + "y", "日本語" * 90_000, "ab" * 200_000, "'" * 90_000 + "'re" * 50_000):
+        before = encoder.widened
+        assert encoder.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
+        assert encoder.widened > before
+    random.seed(3)
+    for kind in (["'", "r", "e", " ", "v", "l", "\u2019"], ["\u0558", "\u08bf", "a", " ", "\ua7ce", "1", "\u3000"], ["a", " ", "\n", "'s", "é", "日", "<|endoftext|>"]):
+        for _ in range(60):
+            t = "".join(random.choices(kind, k=random.randint(1, 4000)))
+            assert encoder.encode(t).tolist() == ref.encode(t, add_special_tokens=False).ids
+    assert encoder.joins > 100
+
+
 def brute_hits(text, items):
     w = decontaminate.words(text)
     hit, found = set(), set()
