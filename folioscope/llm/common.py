@@ -67,6 +67,21 @@ def row_keys(df: DataFrame, id_col: str, text_col: str, null_first: bool) -> tup
     return stored(ranked.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
 
 
+#: Keys that are broadcast at most, to take their rows out of a table.
+BROADCAST_KEYS = 2_000_000
+
+
+def without(rows: DataFrame, key: str, gone: DataFrame, label: str) -> DataFrame:
+    """rows without those whose key is in gone, a table of one column.
+
+    The keys are stored and counted: up to BROADCAST_KEYS they are sent to the rows, which stay where they are.
+    """
+    gone = stored(gone.toDF("_gone_key"), label)
+    if gone.count() <= BROADCAST_KEYS:
+        gone = F.broadcast(gone)
+    return rows.join(gone, rows[key] == gone["_gone_key"], "left_anti").select(*rows.columns)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of the id written as text, modulo n."""
     return F.crc32(F.col(col).cast("string")) % n

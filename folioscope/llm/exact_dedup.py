@@ -6,8 +6,8 @@ path is DataFrame and SQL work.
 
 Defined cases: null text counts as empty; texts are equal only when identical, byte for byte; of equal
 texts the largest id stays; a null id loses to any other, and a group of null ids has a null keep_id
-and keeps nothing; rows that repeat the winner's id are each reported as kept; an empty input gives no
-rows; further columns of the input are ignored.
+and keeps nothing; rows that repeat the winner's id are each reported as kept; a long text is hashed whole; an
+empty input gives no rows; further columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, row_keys, stored, table, work_dir
+from folioscope.llm.common import id_and_text, row_keys, stored, table, without, work_dir
 
 #: A digest held by more than one row in this many is joined as a broadcast row: there can be no more
 #: such digests than this, whatever the input.
@@ -48,6 +48,8 @@ class DigestIndex:
     def fresh(self, batch: DataFrame) -> DataFrame:
         """One row for each digest of the batch (doc_id, digest) that the index doesn't hold."""
         winners = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"))
+        # Always true, but no join is pushed below it: copies are combined before they are dealt out by digest.
+        winners = winners.filter(F.spark_partition_id() >= 0)
         return winners.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
@@ -101,8 +103,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         # Rows without an id come first: a winner among them has no rival with an id.
         least = rows.filter(F.col(id_col).isNotNull()).agg(F.min(key)).first()[0]
         gone = gone.filter(F.col("keep_id") >= F.lit(least).cast("bigint"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"))
-    return rows.join(gone, rows[key] == gone["_gone_id"], "left_anti").select(*docs.columns)
+    return without(rows, key, gone.select("doc_id"), "exact-gone").select(*docs.columns)
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ links, not its pairs. Components follow by alternating star contractions on tabl
 
 Defined cases: null or empty texts, and texts of white space, have fingerprint zero and link like any
 other; fewer words than a shingle give one shingle of all words; copies share a component; a null id
-never names a component unless all its ids are null; an empty input gives no rows; other columns are
-ignored.
+never names a component unless all its ids are null; a long text is hashed whole, and half of its bits is not
+more than half: ties give 0; an empty input gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, row_keys, small_batches, stored, table
+from folioscope.llm.common import id_and_text, record_batch, row_keys, small_batches, stored, table, without
 
 BITS = 64
 RADIUS = 3
@@ -221,8 +221,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if key != id_col:
         last = rows.filter(F.col(id_col).isNotNull()).agg(F.max(key)).first()[0]
         gone = gone.filter(F.col("doc_id") <= F.lit(last).cast("bigint"))
-    gone = gone.select(F.col("doc_id").alias("_gone_id"))
-    return rows.join(gone, rows[key] == gone["_gone_id"], "left_anti").select(*docs.columns)
+    return without(rows, key, gone.select("doc_id"), "near-gone").select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -348,6 +348,81 @@ def test_toxicity(spark, docs, empty):
     assert kept.columns == df.columns and kept.count() < 600
 
 
+def test_toxicity_scores_by_hand(spark):
+    """Scores follow from features and weights; the sample doesn't depend on the layout; held-out rows are told apart."""
+    source, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clean, marks = source.filter(~toxicity.held_out()), labels.filter(~toxicity.held_out())
+    model = toxicity.train(clean, marks)
+    again = toxicity.train(clean.repartition(7, "text"), marks.repartition(3))
+    assert model.features == again.features and np.allclose(model.weights, again.weights, atol=1e-6)
+    weight = dict(zip(model.features, model.weights.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in source.collect()}
+    long = [(-1, "word " * 400_000 + (max(weight, key=weight.get).rstrip("-") + "xyz ") * 3), (-2, None)]
+    scored = toxicity.score_documents(source.select("doc_id", "text").union(spark.createDataFrame(long, "doc_id long, text string")), model)
+    got = {r.doc_id: r.score for r in scored.collect()}
+    for i, t in {**texts, **dict(long)}.items():
+        words = set(re.findall(r"[^\W_]+", (t or "").lower()))
+        found = words | {w[:n] + "-" for w in words for n in toxicity.BEGINNINGS if len(w) > n}
+        z = model.bias + sum(weight.get(x, 0.0) for x in found)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9, abs_tol=1e-12), i
+    asked = [(r.toxic, got[r.doc_id]) for r in labels.filter(toxicity.held_out()).collect() if r.doc_id in got]
+    pairs = [(a > b) + (a == b) / 2 for x, a in asked for y, b in asked if x == 1 and y == 0]
+    assert np.mean(pairs) > 0.85
+
+
+def test_toxicity_sample_is_bound(spark):
+    rows_ = spark.range(2000).selectExpr("id % 1500 AS doc_id")
+    one, two = (sorted(r.doc_id for r in toxicity._sampled(x, 100).collect()) for x in (rows_, rows_.repartition(9, "doc_id")))
+    assert one == two and 100 <= len(one) <= 101 and toxicity._sampled(rows_, 5000).count() == 2000
+
+
+def test_language_scores_by_hand(spark):
+    """Predictions follow from n-grams one by one; no language is left out; the sample doesn't depend on the layout."""
+    kinds = [f"l{k:03d}" for k in range(230)]
+    made = [(10 * k + j, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("qu", "zor", "mi", "talu")) + f" {j}", lang) for k, lang in enumerate(kinds) for j in range(6)]
+    df = spark.createDataFrame([*made, (None, "no language", None), (99_999, None, "l000")], "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.languages == kinds
+    again = language.train(df.repartition(5, "doc_id"))
+    assert np.allclose(model.table, again.table, atol=1e-5)
+    m = 0xFFFFFFFF
+    for text in ("Aaqu bbzor 12 é", "x", "日本 zor", "aaqu " * 3):
+        raw = b" " + text.lower().encode().translate(language._LETTERS) + b" "
+        found = []
+        for i in range(len(raw)):
+            h = raw[i]
+            for n in (2, 3, 4):
+                if i + n > len(raw):
+                    break
+                gram = raw[i : i + n]
+                h = (h * 0x9E3779B1 + gram[-1] * 0x85EBCA6B + n) & m
+                if gram != b"  " and b" " not in gram[1:-1]:
+                    found.append(((h * 0xC2B2AE35) & m) >> 16)
+        assert sorted(found) == sorted(language.ngram_buckets(text).tolist())
+        logits = model.table[found].astype(float).mean(axis=0) + model.bias
+        p = np.exp(logits / model.temperature - (logits / model.temperature).max())
+        p /= p.sum()
+        name, score = model.predict(text)
+        assert name == kinds[int(p.argmax())] and math.isclose(score, p.max(), rel_tol=1e-4)
+    assert language.train(df.filter("lang IS NULL")) is None
+
+
+def test_anti_join_stays_above_the_aggregate(spark):
+    """Copies are combined before they are dealt out by digest."""
+    from folioscope.llm.common import work_dir
+
+    index = exact_dedup.DigestIndex(spark, work_dir(spark, "index"))
+    marks = spark.read.parquet(f"{SF}/documents.parquet").transform(exact_dedup.digests)
+    plan = index.fresh(marks)._jdf.queryExecution().executedPlan().toString()
+    join, aggregate, exchange = (plan.index(x) for x in ("SortMergeJoin", "partial_max", "Exchange hashpartitioning(digest"))
+    assert join < exchange < aggregate
+
+
+def test_rows_are_removed_without_moving_texts(spark, docs):
+    kept = exact_dedup.keep_one(docs.filter("doc_id IS NOT NULL"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in kept and "hashpartitioning(doc_id" not in kept
+
+
 def test_risk_stays_whole():
     """With the mixture's second term negative the gradient turns: confirmed rows are not fitted by heart."""
     rows_, cols = np.arange(40), np.arange(40)
