@@ -10,12 +10,13 @@ with logistic loss. Where the second term turns negative, its gradient is revers
 classifier from fitting the positives by heart. The prior is the share of toxic rows among the labelled
 training rows.
 
-Bounds of the fit: at most POSITIVES confirmed and UNLABELLED other rows, taken by a hash of the id, and
-LEANING + COMMON weights. Every document is scored over its whole text.
+Bounds of the fit: at most POSITIVES confirmed and UNLABELLED other rows, those of the least hashes of id and
+text, and LEANING + COMMON weights. Every document is scored over its whole text.
 
 Defined cases: a null or empty text is scored by the bias alone; null labels count as unlabelled; without
-any confirmed row every score is the prior; repeated rows are scored alike; an empty input gives no rows;
-other columns are ignored. Ids serve for the split and the sample only.
+any confirmed row every score is the prior; repeated rows are scored alike; a score of exactly 0.5 is predicted
+toxic; features that lean alike are chosen in the order of their names; a long text counts each feature once; an
+empty input gives no rows; other columns are ignored. Ids serve for the split and the sample only.
 """
 
 from __future__ import annotations
@@ -138,12 +139,14 @@ def fit_nnpu(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, n_feature
 
 
 def _sampled(rows: DataFrame, bound: int) -> DataFrame:
-    """About bound rows at most, by a hash of the id; all rows where there are no more."""
-    n = rows.count()
-    if n <= bound:
-        return rows
-    share = int(bound / n * 1_000_000)
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share)
+    """The rows of the bound least hashes of id and text; all rows where there are no more.
+
+    The choice depends on the rows alone, not on how they are dealt out. Only rows alike in every hashed
+    column can exceed the bound.
+    """
+    draw = F.xxhash64(*rows.columns, F.lit("sample"))
+    last = rows.select(draw.alias("draw")).orderBy("draw").limit(bound).agg(F.count("*").alias("n"), F.max("draw").alias("last")).first()
+    return rows if last["n"] < bound else rows.filter(draw <= F.lit(last["last"]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -156,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n_toxic, n_known = known.agg(F.sum((F.col("toxic") == 1).cast("long")), F.count("*")).first()
     prior = min(max((n_toxic or 0) / n_known, 0.001), 0.9) if n_known else PRIOR
 
-    # The limit is a bound that holds whatever the hash yields: what is broadcast has POSITIVES rows at most.
+    # The limits cut rows that are alike, if any, and bound what is broadcast.
     confirmed = _sampled(known.filter("toxic = 1").select("doc_id").distinct(), POSITIVES).limit(POSITIVES)
     positive = source.join(F.broadcast(confirmed), "doc_id").select(F.lit(True).alias("positive"), "text")
     mixture = _sampled(source, UNLABELLED).limit(2 * UNLABELLED).select(F.lit(False).alias("positive"), "text")
