@@ -6,11 +6,13 @@ Both are trained by stochastic gradient descent in numpy on a bounded sample of
 the sample is kept for calibration: a temperature makes the scores probabilities, and the lowest score at
 which no more than ERROR_RATE of the accepted rows are wrong becomes the rejection threshold.
 
-Bounds of the fit: PER_LANGUAGE rows for each language and LANGUAGES languages. Every document is
-predicted over its whole text.
+Bound of the fit: PER_LANGUAGE rows for each language, those of the least hashes of id and text. Every document
+is predicted over its whole text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; rows without lang are not
-learned from; with no labelled row all is `und`; an empty input gives no rows; other columns are ignored.
+learned from; with no labelled row all is `und`; repeated rows are predicted alike; of languages with equal scores
+the first by name is taken; long texts are read in slices, which changes no result; an empty input gives no rows;
+other columns are ignored.
 Ids serve for the split and the sample only.
 """
 
@@ -21,15 +23,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import crc_mod, id_and_text, record_batch, small_batches, table
+from folioscope.llm.common import crc_mod, id_and_text, record_batch, small_batches, stored, table
 
 BUCKETS = 1 << 16
 WIDTH = 16
 PER_LANGUAGE = 500
-LANGUAGES = 200
+#: Languages whose sampling thresholds are broadcast at most.
+BROADCAST_LANGUAGES = 100_000
 EPOCHS = 8
 BATCH = 32
 RATE = 20.0
@@ -89,7 +92,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(histograms: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed: int = 7) -> Model:
     """histograms: (distinct buckets, shares of the text's n-grams) of each row."""
     names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
+    number = {x: k for k, x in enumerate(names)}
+    y = np.array([number[x] for x in langs])
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     n_cal = len(y) // 5
@@ -134,12 +138,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fits a model to the labelled rows given; None if there are none."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("language")))
+    # The rank is cut in each task before the shuffle, and no text takes part in it.
+    ranked = rows.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
+    last = stored(ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("draw").alias("last")), "language-last")
+    languages = last.count()
+    if not languages:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, PER_LANGUAGE / n) * 1_000_000))]), F.col("lang"))
-    chosen = rows.filter(draw < share).select("doc_id", "lang", "text")
+    last = F.broadcast(last) if languages <= BROADCAST_LANGUAGES else last
+    chosen = rows.join(last, "lang").filter(F.col("draw") <= F.col("last")).select("doc_id", "lang", "text")
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("id", pa.string()), ("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
@@ -152,8 +159,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             yield record_batch(schema, id=[str(x) for x in batch.column(0).to_pylist()], lang=batch.column(1), at=at, n=n)
 
     found = chosen.mapInArrow(histograms, "id string, lang string, at array<int>, n array<float>")
-    # Order by id: the fit doesn't depend on how rows are dealt out. The limit bounds what the hash may exceed.
-    sample = found.limit(2 * PER_LANGUAGE * len(counts)).toArrow()
+    # Order by id: the fit doesn't depend on how rows are dealt out. The limit cuts rows that are alike, if any.
+    sample = found.limit(2 * PER_LANGUAGE * languages).toArrow()
     rows_ = sorted(zip(sample.column(0).to_pylist(), sample.column(1).to_pylist(), _lists(sample.column(2)), _lists(sample.column(3)), strict=True), key=lambda x: (x[0], x[1]))
     return fit([(a, n) for _, _, a, n in rows_ if len(a)], [x for _, x, a, _ in rows_ if len(a)]) if any(len(r[2]) for r in rows_) else None
 
