@@ -4,15 +4,20 @@ An ARC file opens with a version record; the version fixes the fields of every h
 has URL, address, date, type and length; version 2 adds result code, checksum, location, offset and file
 name before the length. Each record's body has the declared length. The converter makes the equivalent
 WARC records: an identifier from the record's contents, the date in ISO form, the record type, and SHA-1
-digests in base32. Archives are written by Spark's text writer, whose line separator is the pair of empty
-lines that ends a WARC record, and are read whole, file by file, by declared lengths.
+digests in base32; the version record becomes a `warcinfo` record.
+
+Archives hold one gzip member a record. They are written by Spark's text writer, whose line separator is
+an empty gzip member, and are read file by file, member by member, by declared lengths.
 
 Defined cases: a null payload is empty; a null url is `about:blank`, and blanks in urls are
-percent-encoded; header lines with too few fields or without a number as length end the reading of that
+percent-encoded; ARC header lines with too few fields or without a number as length end the reading of that
 archive, whose rest becomes one record of type `unknown`; bodies that end early are kept and marked
-truncated; an empty table writes and reads no record. Of equal payloads the record with the largest
-page id is the response and others revisit it; a null id is never referred to; rows that repeat id and
-payload of a response are responses.
+truncated, also where a gzip member breaks off. Damaged WARC files raise nothing: the column state of their rows
+is `truncated`, `digest mismatch` (the digest given is that of the bytes) or, for bytes that are no record or
+have no length, `unreadable`. An empty table writes and reads no record; long payloads are written and read whole.
+Of equal payloads the record with the largest page id is the response and others revisit it; a null id is never
+referred to; rows that repeat id and payload of a response are responses, and rows that are equal in all make equal
+records, identifier included; rows of one page id with different payloads or urls have identifiers of their own.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -29,12 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import record_batch, small_batches, table, work_dir
+from folioscope.llm.common import record_batch, small_batches, stored, table, work_dir
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
-#: Records of one archive file, which is read by one task.
+#: Records of one archive file, which is read by one task, and bytes of it before compression, as a mean.
 FILE_RECORDS = 20_000
+FILE_BYTES = 256_000_000
+#: Rows that a task gives at once.
+ROWS = 500
+#: A payload shared by more than one row in this many is joined as a broadcast row: there can be no more such payloads.
+HOT_SHARE = 1000
+#: A gzip member without contents, which separates the members of an archive.
+SEPARATOR = gzip.compress(b"", mtime=0)
 CRAWLED = "20200101000000"
 
 ARC_FIELDS = {
@@ -83,10 +96,30 @@ def _header(line: bytes, version: int) -> tuple[list[str], int] | None:
     return [*parts[:3], " ".join(parts[3:-tail]), *parts[-tail:-1]], int(parts[-1])
 
 
-def parse_arc(data: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file, gzip members included; the version record tells the fields and is left out."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def members(data: bytes) -> Iterator[bytes]:
+    """The contents of each gzip member that has some; what is readable of one that breaks off. Other data is one member."""
+    if data[:2] != b"\x1f\x8b":
+        if data:
+            yield data
+        return
+    while data[:2] == b"\x1f\x8b":
+        member, parts = zlib.decompressobj(31), []
+        try:
+            # In pieces, so that an error in a member leaves what stands before it.
+            for at in range(0, len(data), 1 << 16):
+                parts.append(member.decompress(data[at : at + (1 << 16)]))
+                if member.eof:
+                    break
+            data = member.unused_data + data[at + (1 << 16) :]
+        except zlib.error:
+            data = b""
+        if any(parts):
+            yield b"".join(parts)
+
+
+def parse_arc(data: bytes, info: bool = False) -> Iterator[ArcRecord]:
+    """The records of an ARC file, gzip members included. The version record tells the fields; it is given if info is set."""
+    data = b"".join(members(data))
     at, version = 0, 0
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
@@ -96,13 +129,15 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         end = len(data) if end < 0 else end
         if not version:
             # The version stands in the first record's body, whose length is the line's last field in any version.
-            length = data[at:end].rsplit(b" ", 1)[-1].strip()
+            parts = data[at:end].decode("utf-8", "replace").split()
             found = re.match(rb"(\d+) ", data[end + 1 : end + 16])
-            if not data[at:end].startswith(b"filedesc:") or not length.isdigit() or not found:
+            if len(parts) < 4 or not parts[0].startswith("filedesc:") or not parts[-1].isdigit() or not found:
                 yield ArcRecord("urn:arc:unreadable", "0.0.0.0", CRAWLED, "unknown", data[at:], truncated=True)
                 return
             version = 2 if int(found[1]) >= 2 else 1
-            at = end + 1 + int(length)
+            if info:
+                yield ArcRecord(parts[0], parts[1], parts[2], "filedesc", data[end + 1 : end + 1 + int(parts[-1])])
+            at = end + 1 + int(parts[-1])
             continue
         head = _header(data[at:end], version)
         if head is None:
@@ -139,11 +174,19 @@ def to_warc(r: ArcRecord, refers_to: str | None = None) -> bytes:
     """The WARC record of an ARC record, without the two empty lines that end it.
 
     With refers_to, the identifier of an equal payload's record, it is a revisit whose block keeps the
-    HTTP header alone.
+    HTTP header alone. A version record becomes a warcinfo record that tells what was converted.
     """
+    if r.kind == "filedesc":
+        lines = ["software: folioscope", "format: WARC File Format 1.1", f"description: converted from {r.url}", f"arc-version: {r.body.split(b' ')[0].decode()}"]
+        block = "".join(f"{x}\r\n" for x in lines).encode()
+        head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {record_id(r.url, sha1_base32(r.body))}", f"WARC-Date: {iso_date(r.date)}"]
+        head += [f"WARC-Filename: {r.url.removeprefix('filedesc://')}", f"WARC-Block-Digest: sha1:{sha1_base32(block)}", "Content-Type: application/warc-fields"]
+        return "\r\n".join([*head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block
     fields, payload = split_http(r.body)
-    name = fields.get("x-page-id", sha1_base32(r.body))
-    kind = "revisit" if refers_to else "response" if fields else "resource" if r.kind != "unknown" else "unknown"
+    digest = sha1_base32(payload)
+    name = page_name(fields["x-page-id"], digest) if "x-page-id" in fields else sha1_base32(r.body)
+    http = r.body.startswith(b"HTTP/")
+    kind = "revisit" if refers_to else "response" if http else "resource" if r.kind != "unknown" else "unknown"
     block = r.body[: len(r.body) - len(payload)] if refers_to else r.body
     head = [
         "WARC/1.1",
@@ -152,37 +195,57 @@ def to_warc(r: ArcRecord, refers_to: str | None = None) -> bytes:
         f"WARC-Date: {iso_date(r.date)}",
         f"WARC-Target-URI: {r.url}",
         f"WARC-IP-Address: {r.address}",
-        f"WARC-Payload-Digest: sha1:{sha1_base32(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{sha1_base32(block)}",
     ]
     if refers_to:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {refers_to}"]
     if r.truncated:
         head.append("WARC-Truncated: unspecified")
-    head += [f"Content-Type: {'application/http; msgtype=response' if fields else r.kind}", f"Content-Length: {len(block)}"]
+    head += [f"Content-Type: {'application/http; msgtype=response' if http else r.kind}", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record, by declared lengths."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        pairs = (line.partition(":") for line in data[at:end].decode().split("\r\n")[1:])
-        head = {k.strip().lower(): v.strip() for k, _, v in pairs}
-        size = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + size]
-        at = end + 4 + size + 4
+def page_name(page: str, digest: str) -> str:
+    """What names a page's record beside its url."""
+    return f"{page} {digest}"
+
 
+def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, str]]:
+    """(header fields in lower case, block, state) of each record, by declared lengths.
 
-def write_records(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Writes WARC records (column record, binary) as archive files in a folder."""
-    texts = records.select(F.col("record").cast("string"))
-    texts.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", compression).text(path)
+    The state is whole, truncated (the block ends early) or unreadable (the rest of a member that has no
+    header, or none with a length).
+    """
+    for member in members(data):
+        at = 0
+        while at < len(member):
+            end = member.find(b"\r\n\r\n", at)
+            head: dict[str, str] = {}
+            if end >= 0 and member.startswith(b"WARC/", at):
+                pairs = (line.partition(":") for line in member[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+                head = {k.strip().lower(): v.strip() for k, _, v in pairs}
+            if not head.get("content-length", "").isdigit() or "warc-type" not in head:
+                yield head, member[at:], "unreadable"
+                break
+            size = int(head["content-length"])
+            block = member[end + 4 : end + 4 + size]
+            yield head, block, "whole" if len(block) == size else "truncated"
+            at = end + 4 + size
+            while member[at : at + 2] == b"\r\n":
+                at += 2
+
+
+def gzip_member(record: bytes) -> bytes:
+    return gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+
+
+def write_records(records: DataFrame, path: str, per_file: int = FILE_RECORDS) -> None:
+    """Writes gzip members (column record, binary), one for each WARC record, as archive files in a folder."""
+    members_ = records.select(F.col("record").cast("string"))
+    # The separator's bytes are given one a character; compression is the members' own.
+    writer = members_.write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1"))
+    writer.option("maxRecordsPerFile", per_file).option("compression", "none").text(path)
 
 
 def convert_arc(spark: SparkSession, source: str, path: str) -> None:
@@ -193,9 +256,9 @@ def convert_arc(spark: SparkSession, source: str, path: str) -> None:
         for batch in batches:
             for data in batch.column(0):
                 held: list[bytes] = []
-                for r in parse_arc(data.as_py()):
-                    held.append(to_warc(r))
-                    if len(held) == 500:
+                for r in parse_arc(data.as_py(), info=True):
+                    held.append(gzip_member(to_warc(r)))
+                    if len(held) == ROWS:
                         yield record_batch(schema, record=held)
                         held = []
                 yield record_batch(schema, record=held)
@@ -204,45 +267,67 @@ def convert_arc(spark: SparkSession, source: str, path: str) -> None:
     write_records(files.mapInArrow(run, "record binary"), path)
 
 
-READ = "record_id string, record_type string, refers_to_id string, url string, date string, page_id string, payload_bytes bigint, payload_digest string"
+READ = "record_id string, record_type string, refers_to_id string, url string, date string, page_id string, payload_bytes bigint, payload_digest string, state string"
+
 
+def read_warc(spark: SparkSession, path: str, info: bool = False) -> DataFrame:
+    """One row for each record; those that describe the archive itself (warcinfo) only if info is set.
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record. Of a revisit, payload length and digest are those its headers give."""
+    Of a revisit, payload length and digest are those its headers give.
+    """
     names = [x.split()[0] for x in READ.split(", ")]
     schema = pa.schema([(x, pa.int64() if x == "payload_bytes" else pa.string()) for x in names])
 
-    def row(head: dict[str, str], block: bytes) -> tuple:
+    def row(head: dict[str, str], block: bytes, state: str) -> tuple:
         fields, payload = split_http(block)
         given = head.get("warc-payload-digest", "").removeprefix("sha1:")
-        revisit = head["warc-type"] == "revisit"
+        kind = head.get("warc-type", "unknown")
+        revisit = kind == "revisit"
         digest = given if revisit else sha1_base32(payload)
-        if not revisit and given and given != digest:
-            raise ValueError(f"{head.get('warc-record-id')}: digest {digest}, header {given}")
-        size = int(fields.get("content-length", len(payload))) if revisit else len(payload)
-        return head.get("warc-record-id"), head["warc-type"], head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), fields.get("x-page-id"), size, digest
+        if state == "whole" and not revisit and given and given != digest:
+            state = "digest mismatch"
+        size = int(fields["content-length"]) if revisit and fields.get("content-length", "").isdigit() else len(payload)
+        return head.get("warc-record-id"), kind, head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-date"), fields.get("x-page-id"), size, digest, state
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return record_batch(schema, **{x: [r[k] for r in rows] for k, x in enumerate(names)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0):
-                rows = [row(*x) for x in parse_warc(data.as_py())]
-                yield record_batch(schema, **dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else record_batch(schema, **{x: [] for x in names})
+                rows: list[tuple] = []
+                for head, block, state in parse_warc(data.as_py()):
+                    if info or head.get("warc-type") != "warcinfo":
+                        rows.append(row(head, block, state))
+                    if len(rows) == ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                yield batch_of(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
 def archive_pages(pages: DataFrame, path: str) -> None:
     """Writes a WARC record for each page (page_id, url, html), by way of ARC records of both versions."""
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     source = pages.select(F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("about:blank")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     source = source.withColumn("digest", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    marks = source.filter(F.col("size") >= LEAST_BYTES).select("page_id", "url", "digest")
-    first = marks.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("to"), F.count("*").alias("n")).filter("n > 1")
-    again = marks.join(first, "digest").filter(F.col("to.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to.page_id")))
-    again = again.select("page_id", "digest", F.col("to.page_id").cast("string").alias("to_page"), F.col("to.url").alias("to_url")).distinct()
-    b = again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "to_page", "to_url")
-    joined = source.join(b, source["page_id"].eqNullSafe(b["_p"]) & (source["digest"] == b["_d"]), "left")
-    joined = joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page_id"), "url", "html", "to_page", "to_url")
+    marks = stored(source.select("page_id", "url", "digest", "size"), "warc-marks")
+    n, total = marks.agg(F.count("*"), F.sum("size")).first()
+    per_file = min(FILE_RECORDS, max(1, FILE_BYTES * n // (total or 1))) if n else FILE_RECORDS
+    shared = marks.filter(F.col("size") >= LEAST_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("to"), F.count("*").alias("n"))
+    shared = stored(shared.filter(F.col("n") > 1).filter("to.page_id IS NOT NULL"), "warc-shared")
+
+    # Payloads of very many rows are broadcast; rows that have found theirs are spread by their ids in the join of the rest.
+    hot = shared.filter(F.col("n") > max(1, n // HOT_SHARE)).select("digest", F.col("to").alias("hot_to"))
+    wide = source.join(F.broadcast(hot), "digest", "left")
+    spread = F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.xxhash64("url").cast("string")))
+    wide = wide.withColumn("_key", F.when(F.col("hot_to").isNull(), F.col("digest")).otherwise(spread))
+    joined = wide.join(shared.select(F.col("digest").alias("_key"), "to"), "_key", "left").withColumn("to", F.coalesce("hot_to", "to"))
+    revisit = (F.col("size") >= LEAST_BYTES) & F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to.page_id"))
+    page = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    joined = joined.select(page("page_id").alias("page_id"), "url", "html", F.when(revisit, page("to.page_id")).alias("to_page"), F.when(revisit, F.col("to.url")).alias("to_url"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record", pa.binary())])
@@ -253,22 +338,38 @@ def archive_pages(pages: DataFrame, path: str) -> None:
                 payload = html.encode()
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {page}\r\nContent-Length: {len(payload)}\r\n\r\n"
                 rows.append(ArcRecord(clean(url), "0.0.0.0", CRAWLED, "text/html", head.encode() + payload, code="200"))
-                refs.append(record_id(clean(to_url), to_page) if to_page is not None else None)
-            made = [to_warc(r, to) for r, to in zip(parse_arc(write_arc(rows, 1 + n % 2)), refs, strict=True)]
+                refs.append(record_id(clean(to_url), page_name(to_page, sha1_base32(payload))) if to_page is not None else None)
+            made = [gzip_member(to_warc(r, to)) for r, to in zip(parse_arc(write_arc(rows, 1 + n % 2)), refs, strict=True)]
             yield record_batch(schema, record=made)
 
-    write_records(joined.mapInArrow(run, "record binary"), path)
+    write_records(joined.mapInArrow(run, "record binary"), path, per_file)
+
+
+def page_records(found: DataFrame) -> DataFrame:
+    """found, the rows of read_warc, with refers_to: the page id of the record that a revisit refers to.
+
+    Only revisits are joined, with the responses that some revisit refers to.
+    """
+    found = stored(found, "warc-records")
+    again = found.filter(F.col("refers_to_id").isNotNull())
+    names = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
+    asked = again.groupBy("refers_to_id").agg(F.count("*").alias("n"))
+    n = found.count()
+    named = stored(names.join(asked, "refers_to_id"), "warc-names")
+    hot = named.filter(F.col("n") > max(1, n // HOT_SHARE)).drop("n")
+    many = again.join(F.broadcast(hot), "refers_to_id")
+    few = again.join(F.broadcast(hot.select("refers_to_id")), "refers_to_id", "left_anti").join(named.drop("n"), "refers_to_id", "left")
+    return found.filter(F.col("refers_to_id").isNull()).withColumn("refers_to", F.lit(None).cast("string")).unionByName(many).unionByName(few)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "warc")
     pages = table(spark, sf_dir, "pages")
     archive_pages(pages, path)
-    found = read_warc(spark, path)
     kind = pages.schema["page_id"].dataType
-    names = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").cast(kind).alias("refers_to")).distinct()
-    return found.join(names, "refers_to_id", "left").select(
-        F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    found = page_records(read_warc(spark, path))
+    return found.select(
+        F.when(F.col("page_id") != "null", F.col("page_id")).cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
     )
 
 

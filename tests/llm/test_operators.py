@@ -547,6 +547,61 @@ def test_arc_to_warc(spark, tmp_path):
     assert first.payload_digest == base64.b32encode(hashlib.sha1(b"\xff\x00WARC/1").digest()).decode()
 
 
+def test_converted_archives_describe_themselves(spark, tmp_path):
+    records = [archives.ArcRecord("http://a.example/", "1.2.3.4", "20010203", "text/html", b"HTTP/1.1 200 OK\r\n\r\nx" * 3)]
+    (tmp_path / "arc").mkdir()
+    for version in (1, 2):
+        (tmp_path / f"arc/v{version}.arc").write_bytes(archives.write_arc(records, version, f"v{version}.arc"))
+    archives.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = archives.read_warc(spark, str(tmp_path / "warc"), info=True).collect()
+    assert Counter(r.record_type for r in got) == {"warcinfo": 2, "response": 2} and {r.state for r in got} == {"whole"}
+    assert len({r.record_id for r in got if r.record_type == "warcinfo"}) == 2
+    # One gzip member a record, each readable by itself.
+    data = next(f.read_bytes() for f in (tmp_path / "warc").glob("part-*") if f.stat().st_size)
+    whole = list(archives.members(data))
+    assert all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") for m in whole) and gzip.decompress(data) == b"".join(whole)
+
+
+def test_damaged_archives(spark, tmp_path):
+    made = [archives.to_warc(archives.ArcRecord(f"http://{k}.example/", "0.0.0.0", "2001", "text/plain", f"body {k} ".encode() * 50)) for k in range(4)]
+    plain = b"".join(r + b"\r\n\r\n" for r in made)
+    packed = b"".join(archives.gzip_member(r) for r in made)
+    (tmp_path / "w").mkdir()
+
+    def states(data):
+        (tmp_path / "w/x").write_bytes(data)
+        return [(r.record_type, r.state) for r in archives.read_warc(spark, str(tmp_path / "w")).collect()]
+
+    good = [("resource", "whole")] * 4
+    assert states(plain) == states(packed) == good
+    assert states(plain[:-100]) == [*good[:3], ("resource", "truncated")]
+    assert states(packed[: len(packed) - 20])[:3] == good[:3]
+    assert states(plain.replace(b"body 2 body", b"bodY 2 body", 1)) == [*good[:2], ("resource", "digest mismatch"), good[3]]
+    assert states(made[0] + b"\r\n\r\n" + made[1].replace(b"Content-Length", b"Content-Size")) == [good[0], ("resource", "unreadable")]
+    assert states(b"nothing of the kind") == [("unknown", "unreadable")] and states(b"") == []
+    arc = gzip.compress(archives.write_arc([archives.ArcRecord("http://a/", "0.0.0.0", "2001", "text/html", random.Random(1).randbytes(200_000))], 1))
+    cut = list(archives.parse_arc(arc[: len(arc) // 2]))
+    assert len(cut) == 1 and cut[0].truncated and 1000 < len(cut[0].body) < 200_000
+
+
+def test_pages_of_one_id_and_hot_payloads(spark, tmp_path, monkeypatch):
+    """Every different record has an identifier of its own; payloads of many rows give what others give."""
+    pages = [(1, "u", "one"), (1, "u", "two"), (2, "v", "one"), (2, "w", "two"), (3, "u", "one"), (4, "x", "other")] + [(10 + k, f"e{k}", None) for k in range(40)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = []
+    for share in (1000, 20):
+        monkeypatch.setattr(archives, "HOT_SHARE", share)
+        path = str(tmp_path / f"w{share}")
+        archives.archive_pages(df, path)
+        got = archives.page_records(archives.read_warc(spark, path)).collect()
+        assert len({r.record_id for r in got}) == len(pages) == len(got)
+        found.append(sorted((r.page_id, r.url, r.payload_digest, r.record_type, r.refers_to or "") for r in got))
+    assert found[0] == found[1]
+    for page, _, digest, kind, to in found[0]:
+        same = max(int(p) for p, _, d, _, _ in found[0] if d == digest)
+        assert (kind, to) == (("response", "") if int(page) == same else ("revisit", str(same)))
+
+
 def test_pages_round_trip(spark, tmp_path):
     pages = [(1, "http://x/ y", "same"), (2, None, "same"), (3, "http://z", None), (4, "u", ""), (5, "v", "WARC/1.1\r\n\r\n\r\n\r\nWARC/1.1 é"), (6, "w", "x" * 300_000), (None, "n", "same"), (7, "r", "own"), (7, "r", "own")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
