@@ -511,6 +511,56 @@ def test_class_model_beats_words_alone(spark):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_every_unit_is_placed_by_all_its_neighbours(spark, monkeypatch):
+    """Classes, transitions and scores as a plain loop over the texts makes them; rare words are scored by the same classes."""
+    monkeypatch.setattr(class_lm, "LEXICON", 5)
+    monkeypatch.setattr(class_lm, "DICTIONARY", 40)
+    monkeypatch.setattr(class_lm, "HELD_CELLS", 100)
+    monkeypatch.setattr(class_lm, "TASKS", 2)
+    random.seed(5)
+    kinds = [[f"{a}{k}" for k in range(20)] for a in ("det", "adj", "noun")]
+    texts = [(i, " ".join(random.choice(kinds[k % 3]) for k in range(random.randint(0, 40)))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    counts, units, count = class_lm.dictionary(docs)
+    model = class_lm.learn(class_lm.coded(docs, units), counts, units, count)
+    flat = [0]
+    for _, t in texts:
+        flat.extend(units.of(w) for w in class_lm.tokens(t))
+    core = units.core()
+    size, c = 1 + class_lm.LEXICON + class_lm.SHAPES, class_lm.CLASSES
+    pairs = np.zeros((size, size))
+    for a, b in zip(flat, flat[1:]):
+        pairs[core[a], core[b]] += 1
+    cls = class_lm.exchange(pairs, c)[core]
+    for _ in range(class_lm.SWEEPS_ALL):
+        joint = np.zeros((c, c))
+        for a, b in zip(flat, flat[1:]):
+            joint[cls[a], cls[b]] += 1
+        after = np.log(joint + 0.1) - np.log(joint.sum(axis=1, keepdims=True) + 1)
+        before = np.log(joint + 0.1) - np.log(joint.sum(axis=0, keepdims=True) + 1)
+        new = cls.copy()
+        for u in sorted({u for u, k in Counter(flat[1:]).items() if u and k >= class_lm.LEAST_PLACED}):
+            gain = np.zeros(c)
+            for a, b in zip(flat, flat[1:]):
+                if a == u:
+                    gain += after[:, cls[b]]
+                if b == u:
+                    gain += before[cls[a]]
+            gain[0] = -np.inf
+            new[u] = gain.argmax()
+        cls = new
+    assert (cls == model.cls).all() and len({cls[units.of(f"noun{k}".encode())] for k in range(20)} & {cls[units.of(f"det{k}".encode())] for k in range(20)}) <= 3
+    total = Counter(w for _, t in texts for w in class_lm.tokens(t))
+    got = {r.doc_id: r for r in class_lm.score_documents(docs, model, counts).collect()}
+    for i, t in texts:
+        h, want = 0, 0.0
+        for w in class_lm.tokens(t):
+            k = cls[units.of(w)]
+            want += model.transition[h, k] + math.log10(total[w]) - model.log_size[k]
+            h = k
+        assert math.isclose(got[i].score, want, rel_tol=1e-9) and got[i].n_known == got[i].n_tokens
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(0)
     n = 25
