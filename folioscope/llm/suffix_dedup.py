@@ -5,18 +5,19 @@ LENGTH bytes are compared as suffixes cut at that depth:
 
 1.  Each window has an anchor, the leftmost of its GRAM-byte grams with the least hash. Neighbouring
     windows with one anchor form a run, which a covering string holds. Equal windows have equal anchors,
-    so only runs with one anchor gram can hold equal windows. Runs are dealt out by their gram.
+    so only runs with one anchor gram can hold equal windows. Runs are dealt out by their gram. A gram with
+    very many different runs (the border of a line or passage that a large part of all documents holds) is
+    found beforehand, from a sample; its runs are dealt out by gram and covering string.
 2.  Of runs with equal covering strings, all but the first are repeats. Where a gram has one covering
     string alone, nothing is left to do.
 3.  The other covering strings are sent, with their bytes, to their gram's bucket, where all of their
     suffixes are sorted: by multikey quicksort to SHALLOW bytes, then by blind tries, which look at one
     branching byte a node and at the common prefix lengths of the group, to LENGTH bytes. In each class of
     suffixes with LENGTH bytes in common all but the first are repeats. A gram with very many covering
-    strings (the border of a passage that a large part of all documents holds) isn't left to one bucket:
-    its windows are dealt out one by one by their own hash.
+    strings isn't left to one bucket here either: its windows are dealt out one by one by their own hash.
 4.  Repeats become spans, which are merged and cut from the documents.
 
-Steps 1 to 4 run as Spark shuffles over packed arrays. Before a shuffle each task combines what it holds:
+The sample decides how runs are dealt out, never what is removed. Steps 1 to 4 run as Spark shuffles over packed arrays. Before a shuffle each task combines what it holds:
 equal covering strings, and equal windows of hot grams, are settled there but for the first. Covering strings count as equal by two 64-bit
 hashes of their bytes and gram; all other comparisons are byte by byte.
 
@@ -51,9 +52,13 @@ BUCKET_STRINGS = 20_000
 #: Runs that a task holds before it passes them on.
 HELD_RUNS = 400_000
 #: A gram is hot with more covering strings than this, and more than one in HOT_SHARE of all; so there are
-#: HOT_SHARE hot grams at most, whatever the input.
+#: HOT_SHARE hot grams at most, whatever the input. Before the runs are dealt out, HOT_RUNS takes the place of HOT_STRINGS.
 HOT_STRINGS = 80_000
-HOT_SHARE = 1000
+HOT_RUNS = 100_000
+HOT_SHARE = 1_000_000
+#: Bytes of text and share of all texts that are looked at, at least, for grams with very many runs.
+SAMPLE_BYTES = 20_000_000
+SAMPLE_SHARE = 0.01
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -279,8 +284,50 @@ class Suffixes:
 PACKED = pa.schema([("bucket", pa.int32()), ("gram", pa.binary()), ("cover", pa.binary()), ("key", pa.binary()), ("at", pa.binary()), ("n", pa.binary())])
 
 
-def _deal_runs(buckets: int, length: int, gram: int):
-    """Packs the runs of a task's texts by bucket of their gram."""
+def _is_hot(g: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which grams are among the hot ones, which are in order."""
+    if not len(hot):
+        return np.zeros(len(g), bool)
+    return hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+
+
+def hot_grams(texts: DataFrame, total: int, length: int, gram: int) -> np.ndarray:
+    """Grams with very many different runs, in order: more than HOT_RUNS, and more than one in HOT_SHARE, as a sample tells."""
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_BYTES / max(total, 1)))
+    sample = texts.filter(F.pmod(F.xxhash64("key", F.lit("grams")), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else texts
+
+    def listed(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        g, c = (np.concatenate([r[x] for r in held]) for x in (2, 3))
+        by = np.lexsort([c, g])
+        g, c = g[by], c[by]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+        found, n = np.unique(g[new], return_counts=True)
+        # A gram with very many runs has several in any part of the texts.
+        return record_batch(GRAMS, gram=found[n > 1].view(np.int64), n=n[n > 1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                for r in text_runs(text.encode(), length, gram):
+                    held.append(r)
+                    size += len(r[0])
+                    if size >= HELD_RUNS:
+                        yield listed(held)
+                        held, size = [], 0
+        if held:
+            yield listed(held)
+
+    counts = sample.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    # Runs are as long as half a window less the gram, on average.
+    runs_ = total // ((length - gram) // 2 + 1)
+    least = max(1, int(share * max(HOT_RUNS, runs_ // HOT_SHARE)))
+    found = counts.filter(F.col("n") > least).select("gram").toArrow().column("gram").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def _deal_runs(buckets: int, length: int, gram: int, shared):
+    """Packs the runs of a task's texts by bucket of their gram; those of hot grams by gram and covering string."""
 
     def packed(held: list[tuple[int, tuple[np.ndarray, ...]]]) -> pa.RecordBatch:
         key = np.concatenate([np.full(len(r[0]), k, np.int64) for k, r in held])
@@ -290,7 +337,8 @@ def _deal_runs(buckets: int, length: int, gram: int):
         by = np.lexsort([at, key, n, c, g])
         late = np.empty(len(g), bool)
         late[by] = np.concatenate([[False], (g[by][1:] == g[by][:-1]) & (c[by][1:] == c[by][:-1]) & (n[by][1:] == n[by][:-1])])
-        to = np.where(late, -1 - key % buckets, (g % np.uint64(buckets)).astype(np.int64))
+        at_hand = np.where(_is_hot(g, shared.value), (g ^ c) * _MIX >> np.uint64(20), g)
+        to = np.where(late, -1 - key % buckets, (at_hand % np.uint64(buckets)).astype(np.int64))
         by = np.argsort(to, kind="stable")
         cut = np.searchsorted(to[by], np.arange(-buckets, buckets + 1))
         some = np.flatnonzero(np.diff(cut)).tolist()
@@ -317,11 +365,20 @@ def _unpacked(group: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(group.column(name).to_pylist()), kind)
 
 
+GRAMS = pa.schema([("gram", pa.int64()), ("n", pa.int64())])
 RUN = pa.schema([("key", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("gram", pa.int64()), ("repeat", pa.bool_())])
 
 
-def _sift_runs(group: pa.Table) -> pa.Table:
-    """Runs that repeat a covering string, and the first runs of grams with several covering strings."""
+def _sift_runs(shared):
+    """Runs that repeat a covering string, and the first runs of grams with several covering strings, as all hot ones have."""
+
+    def run(group: pa.Table) -> pa.Table:
+        return _sifted(group, shared.value)
+
+    return run
+
+
+def _sifted(group: pa.Table, hot: np.ndarray) -> pa.Table:
     g, c = _unpacked(group, "gram", np.uint64), _unpacked(group, "cover", np.uint64)
     key, at, n = _unpacked(group, "key", np.int64), _unpacked(group, "at", np.int64), _unpacked(group, "n", np.int32)
     if group.column("bucket")[0].as_py() < 0:
@@ -331,6 +388,7 @@ def _sift_runs(group: pa.Table) -> pa.Table:
     new_gram = np.concatenate([[True], g[1:] != g[:-1]])
     lead = new_gram | np.concatenate([[True], (c[1:] != c[:-1]) | (n[1:] != n[:-1])])
     several = np.add.reduceat(lead.astype(np.int64), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1] > 1
+    several |= _is_hot(g, hot)
     out = np.flatnonzero(~lead | several)
     return pa.table({"key": key[out], "at": at[out], "n": n[out], "gram": g[out].view(np.int64), "repeat": ~lead[out]}, schema=RUN)
 
@@ -433,8 +491,9 @@ def repeat_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> Dat
     texts = rows.select("key", "text").filter(F.octet_length("text") >= length)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total // BUCKET_BYTES) + 1
-    packed = texts.mapInArrow(_deal_runs(buckets, length, gram), "bucket int, gram binary, cover binary, key binary, at binary, n binary")
-    sifted = packed.groupBy("bucket").applyInArrow(_sift_runs, "key bigint, at bigint, n int, gram bigint, repeat boolean")
+    shared = spark.sparkContext.broadcast(hot_grams(texts, total, length, gram))
+    packed = texts.mapInArrow(_deal_runs(buckets, length, gram, shared), "bucket int, gram binary, cover binary, key binary, at binary, n binary")
+    sifted = packed.groupBy("bucket").applyInArrow(_sift_runs(shared), "key bigint, at bigint, n int, gram bigint, repeat boolean")
     found = stored(sifted, "suffix-runs")
 
     firsts = found.filter("NOT repeat")

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folioscope.llm import archives, bpe, class_lm, decontaminate, exact_dedup, language, simhash, suffix_dedup, token_counts, toxicity
 from tests.compare import connect, rows
@@ -292,6 +293,41 @@ def test_suffix_dedup_hot_grams(spark, docs, monkeypatch):
     check_removed(suffix_dedup.remove_repeats(docs), TEXTS, 100)
 
 
+def test_suffix_dedup_deals_out_runs_of_a_hot_gram(spark, monkeypatch):
+    """A gram with very many different runs is spread over all buckets, and what is removed stays the same."""
+    random.seed(4)
+    word = lambda n: "".join(random.choices("abcdefghijklmnop ", k=n))
+    made = [(i, word(80) + COPY[:60] + word(80) + (COPY if i % 9 == 0 else "")) for i in range(400)]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    rows_ = suffix_dedup.keyed(df)[0].select("key", "text")
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5000)
+    total = sum(len(t) for _, t in made)
+
+    def heaviest():
+        hot = suffix_dedup.hot_grams(rows_, total, 100, 32)
+        shared = spark.sparkContext.broadcast(hot)
+        deal = suffix_dedup._deal_runs(16, 100, 32, shared)
+        dealt = rows_.mapInArrow(deal, "bucket int, gram binary, cover binary, key binary, at binary, n binary").filter("bucket >= 0")
+        sizes = [r.n for r in dealt.groupBy("bucket").agg(F.sum(F.length("key") / 8).alias("n")).collect()]
+        return len(hot), max(sizes) / np.median(sizes)
+
+    none, before = heaviest()
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", 100)
+    some, after = heaviest()
+    assert none == 0 and some > 0 and after < 2 < before
+    check_removed(suffix_dedup.remove_repeats(df), made, 100)
+
+
+def test_suffix_dedup_of_texts_longer_than_a_slice(spark):
+    rng = random.Random(11)
+    a = rng.randbytes(450_000).hex()
+    edge = suffix_dedup.SLICE
+    texts = [(1, a + rng.randbytes(100_000).hex()), (2, rng.randbytes(2000).hex() + a[edge - 900_000 : edge - 900_000 + 5000] + "z" + rng.randbytes(300).hex()), (3, "q" + a[-70_000:] + "q" * 150)]
+    texts[0] = (1, texts[0][1] + texts[0][1][edge - 300 : edge + 300])
+    assert len(texts[0][1]) > edge
+    check_removed(suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")), texts, 100)
+
+
 def test_suffix_dedup_on_the_table(spark, table):
     some = [(i, t) for i, t in table if len(t) < 6000][:120]
     df = spark.createDataFrame(some, "doc_id long, text string")
