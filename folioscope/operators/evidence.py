@@ -140,10 +140,14 @@ def expand(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, rounds:
 def seed_search(probes: DataFrame, stored: DataFrame, k: int = 50, floor: float = 0.4, drop: float = 0.3) -> DataFrame:
     """(probe, node, sim, rank): nearest stored vectors (node, v) of stated probes (probe, q), down to a floor and a steep drop."""
     from folioscope.operators.order import gradient_cut
-    from folioscope.operators.search import small
-
-    scored = stored.join(small(probes)).select("probe", "node", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("sim"))
-    return gradient_cut(top_per_group(scored.filter(F.col("sim") >= floor), ["probe"], [F.desc("sim"), F.asc("node")], k), "probe", "sim", floor, drop)
+    from folioscope.operators.search import probe_blocks
+
+    best = None
+    for block in probe_blocks(probes, "probe"):
+        scored = stored.join(F.broadcast(block)).select("probe", "node", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("sim"))
+        found = top_per_group(scored.filter(F.col("sim") >= floor), ["probe"], [F.desc("sim"), F.asc("node")], k)
+        best = found if best is None else best.unionByName(found)
+    return gradient_cut(best, "probe", "sim", floor, drop)
 
 
 def idf_jaccard(left: DataFrame, right: DataFrame, idf: DataFrame, hint: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:

@@ -198,11 +198,12 @@ def cluster_scores(scores: DataFrame, cluster: DataFrame, how: str = "sum") -> D
 def seed_spread(seeds: DataFrame, cluster: DataFrame, cap: int = 50) -> DataFrame:
     """Seeds (node, sim) and, at sim / sqrt(size), up to cap other members of their clusters, in order of name."""
     size = cluster.groupBy("cluster").agg(F.count("*").alias("size"))
-    from_ = seeds.join(cluster, "node").join(size, "cluster").select("cluster", F.col("node").alias("_seed"), F.col("sim") / F.sqrt("size"))
-    from_ = from_.toDF("cluster", "_seed", "sim")
-    others = from_.join(cluster, "cluster").join(seeds.select("node"), "node", "left_anti")
-    w = Window.partitionBy("_seed").orderBy("node")
-    others = others.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).groupBy("node").agg(F.max("sim").alias("sim"))
+    # All seeds of a cluster spread to the same members, its first ones that are no seeds, so the best seed decides.
+    best = seeds.join(cluster, "node").groupBy("cluster").agg(F.max("sim").alias("sim"))
+    best = best.join(size, "cluster").select("cluster", (F.col("sim") / F.sqrt("size")).alias("sim"))
+    w = Window.partitionBy("cluster").orderBy("node")
+    members = cluster.join(seeds.select("node"), "node", "left_anti").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap)
+    others = members.join(best, "cluster").groupBy("node").agg(F.max("sim").alias("sim"))
     return seeds.select("node", "sim").unionByName(others.select("node", "sim"))
 
 

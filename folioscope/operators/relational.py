@@ -10,15 +10,25 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     """An equi-join whose hot keys are dealt over salts.
 
     A key with more than hot_share of the left rows is hot; there can be 1 / hot_share of them at most, so
-    their list is broadcast. Left rows of hot keys get a random salt, right rows of hot keys a copy for each.
+    their list is broadcast. Left rows of hot keys get a salt by the hash of the row, so that a stage run again
+    deals them alike; right rows of hot keys get a copy for each salt. Right rows without a partner, which a right or
+    full join keeps, are found apart by key, once each.
     """
+    kind = how.replace("_", "").removesuffix("outer").removesuffix("join") or "full"
+    if kind not in ("inner", "left", "right", "full"):
+        raise ValueError(f"join kind {how}")
+    keeps_right = kind in ("right", "full")
     n = left.count()
     hot = left.groupBy(key).count().filter(F.col("count") > max(1, int(n * hot_share))).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.floor(F.rand(7) * salts).cast("int")).otherwise(0)
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0)
     a = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     b = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return a.join(b, [key, "_salt"], how).drop("_salt")
+    out = a.join(b, [key, "_salt"], "left" if kind in ("left", "full") else "inner").drop("_salt")
+    if not keeps_right:
+        return out
+    alone = right.join(left.select(key).distinct(), key, "left_anti")
+    return out.unionByName(alone, allowMissingColumns=True).select(*out.columns)
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:

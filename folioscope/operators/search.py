@@ -12,6 +12,9 @@ from folioscope.operators.order import top_per_group
 #: Rows of a query table that may be broadcast; larger ones are joined by a shuffle.
 QUERY_ROWS = 10_000
 
+#: Probes that are sent to the tasks at once.
+PROBES = 10_000
+
 
 def small(df: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     """df with a broadcast hint if it is counted to be small, else as it is."""
@@ -41,13 +44,24 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, k: int
 def dense(vectors_df: DataFrame, probes: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
     """(probe, <id_col>, score, rank): the k rows of largest inner product for each stated probe.
 
-    The probes are a stated query set, sent to the tasks in blocks that are counted to be small; every
-    row is compared with every probe.
+    The probes are a stated query set, counted and sent to the tasks in blocks of about PROBES; every row is
+    compared with every probe, one pass over the rows for each block.
     """
     p = probes.select(F.col(id_col).alias("probe"), F.col(vector_col).alias("_q"))
-    both = vectors_df.select(id_col, vector_col).join(small(p), F.col("probe") != F.col(id_col))
-    scored = both.select("probe", id_col, F.round(vectors.dot(F.col(vector_col), F.col("_q")), 6).alias("score"))
-    return top_per_group(scored, ["probe"], [F.desc("score"), F.asc(id_col)], k)
+    rows = vectors_df.select(id_col, vector_col)
+    out = None
+    for block in probe_blocks(p, "probe"):
+        both = rows.join(F.broadcast(block), F.col("probe") != F.col(id_col))
+        scored = both.select("probe", id_col, F.round(vectors.dot(F.col(vector_col), F.col("_q")), 6).alias("score"))
+        found = top_per_group(scored, ["probe"], [F.desc("score"), F.asc(id_col)], k)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def probe_blocks(probes: DataFrame, key: str) -> list[DataFrame]:
+    """The probes in blocks of about PROBES, dealt by the hash of the key."""
+    parts = probes.count() // PROBES + 1
+    return [probes if parts == 1 else probes.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == k) for k in range(parts)]
 
 
 def page_scores(hits: DataFrame, keys: list[str], k: int | None = None) -> DataFrame:
