@@ -7,11 +7,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import corpus, events, evidence, export, graphs, pages, relational, search
+from folioscope.plans import corpus, events, evidence, export, graphs, library, pages, relational, search, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[ModuleType] = [search, corpus, evidence, export, graphs, pages, events, relational]
+MODULES: list[ModuleType] = [search, corpus, evidence, export, graphs, pages, events, relational, structure, library]
 
 
 def queries() -> dict[str, Query]:

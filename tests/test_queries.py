@@ -55,3 +55,21 @@ def test_fusion_of_every_query(spark):
     asked = {r.query_id for r in catalogue.queries()["rrf_fusion_by_query"](spark, SF).select("query_id").distinct().collect()}
     ids = [f"SELECT {c} FROM '{SF}/{t}.parquet' WHERE {c} % 100 = 0" for t, c in (("benchmark", "item_id"), ("embeddings", "vec_id"))]
     assert asked == {r[0] for r in connect(SF).execute(" UNION ".join(ids)).fetchall()}
+
+
+def test_entry_with_the_pipeline_but_without_its_operators(tmp_path):
+    """The pipeline's file alone doesn't keep the rest from importing."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parent.parent
+    if not (repo / "corpus_pipeline.py").exists():
+        pytest.skip("no pipeline here")
+    shutil.copytree(repo / "folioscope", tmp_path / "folioscope", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(repo / name, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == [str(len(catalogue.queries())), "False"], done.stderr
