@@ -42,6 +42,8 @@ LEAST_BYTES = 0
 #: Records of one archive file, which is read by one task, and bytes of it before compression, as a mean.
 FILE_RECORDS = 20_000
 FILE_BYTES = 256_000_000
+#: Bytes that are decompressed at once.
+PIECE = 1 << 14
 #: Rows that a task gives at once.
 ROWS = 500
 #: A payload shared by more than one row in this many is joined as a broadcast row: there can be no more such payloads.
@@ -102,17 +104,19 @@ def members(data: bytes) -> Iterator[bytes]:
         if data:
             yield data
         return
-    while data[:2] == b"\x1f\x8b":
+    at, view = 0, memoryview(data)
+    while data.startswith(b"\x1f\x8b", at):
+        if data.startswith(SEPARATOR, at):
+            at += len(SEPARATOR)
+            continue
         member, parts = zlib.decompressobj(31), []
         try:
             # In pieces, so that an error in a member leaves what stands before it.
-            for at in range(0, len(data), 1 << 16):
-                parts.append(member.decompress(data[at : at + (1 << 16)]))
-                if member.eof:
-                    break
-            data = member.unused_data + data[at + (1 << 16) :]
+            while at < len(data) and not member.eof:
+                parts.append(member.decompress(view[at : at + PIECE]))
+                at = min(at + PIECE, len(data)) - len(member.unused_data)
         except zlib.error:
-            data = b""
+            at = len(data)
         if any(parts):
             yield b"".join(parts)
 
