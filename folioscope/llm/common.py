@@ -20,13 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names.
 
-    Where the setting is absent (tests, a single machine) a temporary folder is made once and used
-    for the session.
+    Where the setting is absent on a single machine, a temporary folder is made once and used for the
+    session. On a cluster that would be a folder of one machine, so there its absence is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext.getCheckpointDir()
         if not held:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='folioscope-')}")
             held = spark.sparkContext.getCheckpointDir()
         base = held

@@ -13,8 +13,9 @@ blocks are further passes over the documents, one after the other, whose results
 each row has a key of its own for that, so rows that share an id, or have none, are answered each by itself.
 
 Defined cases: null and empty texts have no words and no hits; items without words have no windows;
-items of one id count once; an empty benchmark marks nothing; empty documents give no rows; other
-columns are ignored.
+items of one id count once; a window that several items hold counts for each of them; repeated rows, and rows
+that share an id, are answered each by itself; a text longer than a shard is a shard of its own and searched whole; an
+empty benchmark marks nothing; empty documents give no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ Symbols are bytes; a word's last byte is a symbol of its own, as the vocabulary
 from others. Each task counts a distinct word once and remembers it, within REMEMBERED words.
 
 Defined cases: null and empty texts, and texts of white space, have no words and no tokens; a word that
-the vocabulary can't split counts as one unknown token; an empty input gives no rows; other columns are
-ignored.
+the vocabulary can't split counts as one unknown token; long texts are counted whole and repeated rows alike; an
+empty input gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
