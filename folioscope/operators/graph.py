@@ -13,11 +13,15 @@ DEGREE_CAP = 12
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one where it is unset."""
+    """A new path in the folder that spark.checkpoint.dir names; where it is unset, a temporary one on a single machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         import tempfile
 
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='folioscope-')}")
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
