@@ -96,6 +96,88 @@ def passage_top_clusters(edges: DataFrame, cluster: DataFrame, k: int) -> DataFr
     return top_per_group(per, ["passage"], [F.desc("weight"), F.asc("cluster")], k)
 
 
+def pair_sentences(mentions: DataFrame) -> DataFrame:
+    """(surface_a, surface_b, sentence), a row for each sentence that two surfaces share, of rows (sentence, surface).
+
+    The sentences of a pair stay rows: a frequent pair has any number of them.
+    """
+    m = mentions.select("sentence", "surface").distinct()
+    a, b = m.withColumnRenamed("surface", "surface_a"), m.withColumnRenamed("surface", "surface_b")
+    return a.join(b, "sentence").filter("surface_a < surface_b").select("surface_a", "surface_b", "sentence")
+
+
+def cluster_top_surfaces(edges: DataFrame, cluster: DataFrame, k: int = 8) -> DataFrame:
+    """(cluster, surface, weight, rank): the members of each cluster with the most weight of edges (surface, passage, weight)."""
+    weight = edges.groupBy("surface").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    members = cluster.select("cluster", F.col("node").alias("surface")).join(weight, "surface")
+    return top_per_group(members, ["cluster"], [F.desc("weight"), F.asc("surface")], k)
+
+
+def cluster_top_passages(edges: DataFrame, cluster: DataFrame, k: int = 10, samples: int = 3) -> DataFrame:
+    """(cluster, passage, weight, members, rank): passages by the weight of the cluster's surfaces, with the first of these by name."""
+    e = edges.join(cluster.withColumnRenamed("node", "surface"), "surface")
+    per = e.groupBy("cluster", "passage").agg(F.round(F.sum("weight"), 4).alias("weight"))
+    best = top_per_group(per, ["cluster"], [F.desc("weight"), F.asc("passage")], k)
+    named = top_per_group(e.join(best.select("cluster", "passage"), ["cluster", "passage"]).select("cluster", "passage", "surface").distinct(), ["cluster", "passage"], [F.asc("surface")], samples)
+    named = named.groupBy("cluster", "passage").agg(F.array_sort(F.collect_list("surface")).alias("members"))
+    return best.join(named, ["cluster", "passage"])
+
+
+def cluster_cooccurrences(pairs: DataFrame, cluster: DataFrame, k: int = 8) -> DataFrame:
+    """(cluster, other, n, rank): clusters whose members share most sentences, of pairs (surface_a, surface_b, n).
+
+    A surface without a cluster is one by itself; pairs within a cluster don't count.
+    """
+    own = lambda df, c, name: df.join(cluster.select(F.col("node").alias(c), F.col("cluster").alias("_c")), c, "left").withColumn(name, F.coalesce("_c", c)).drop("_c")
+    p = own(own(pairs, "surface_a", "surface"), "surface_b", "partner").filter("surface <> partner")
+    folded = p.select(F.least("surface", "partner").alias("surface_a"), F.greatest("surface", "partner").alias("surface_b"), "n").groupBy("surface_a", "surface_b").agg(F.sum("n").alias("n"))
+    return top_per_group(partners(folded).toDF("cluster", "other", "n"), ["cluster"], [F.desc("n"), F.asc("other")], k)
+
+
+def sentence_neighbours(tails: DataFrame, mentions: DataFrame, cluster: DataFrame, similarity: DataFrame, sentences: int = 32, k: int = 20, via: int = 8) -> DataFrame:
+    """(query, tail, cluster, surface, top, mean, support, via, rank): what the best sentences of a tail's cluster mention beside it.
+
+    Of the sentences that mention a member of the cluster tail (tails: query, tail) the most similar to the query
+    (similarity: query, sentence, sim) are kept; the surfaces they mention (sentence, surface) are folded to
+    clusters, each sentence once, and ranked by largest and mean similarity and number of sentences. A surface
+    without a cluster is one by itself; the tail's own cluster is left out.
+    """
+    m = mentions.join(cluster.withColumnRenamed("node", "surface"), "surface", "left").withColumn("cluster", F.coalesce("cluster", "surface"))
+    m = m.select("sentence", "surface", "cluster").distinct()
+    own = m.select(F.col("cluster").alias("tail"), "sentence").distinct().join(tails.select("query", "tail").distinct(), "tail")
+    best = top_per_group(own.join(similarity, ["query", "sentence"]), ["query", "tail"], [F.desc("sim"), F.asc("sentence")], sentences).select("query", "tail", "sentence", "sim")
+    seen = best.join(m, "sentence").filter("cluster <> tail").groupBy("query", "tail", "cluster", "sentence").agg(F.first("sim").alias("sim"), F.min("surface").alias("surface"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("s"), "sentence")))  # as many as sentences at most
+    folded = seen.groupBy("query", "tail", "cluster").agg(
+        F.min_by("surface", F.struct((-F.col("sim")).alias("s"), "surface")).alias("surface"),
+        F.max("sim").alias("top"),
+        F.round(F.avg("sim"), 6).alias("mean"),
+        F.count("*").alias("support"),
+        F.slice(F.transform(ordered, lambda x: x["sentence"]), 1, via).alias("via"),
+    )
+    return top_per_group(folded, ["query", "tail"], [F.desc("top"), F.desc("mean"), F.desc("support"), F.asc("cluster")], k)
+
+
+def prompt_blocks(pages: DataFrame) -> DataFrame:
+    """(query, legend, block): numbered pages (query, number, file_id, page_id, text) of each query as text for a prompt.
+
+    Pages are those of a ranked answer, so a query has a bounded number of them. Pages without a number stand
+    last and have no label, and the legend leaves them out.
+    """
+    label = F.concat(F.lit("[^"), F.col("number").cast("string"), F.lit("]"))
+    item = F.struct(
+        F.col("number").isNull().alias("last"),
+        "number",
+        "file_id",
+        "page_id",
+        F.concat(F.lit("  "), label, F.lit(" file_id="), "file_id", F.lit(" page_number="), F.col("page_id").cast("string")).alias("line"),
+        F.concat(F.lit("----- "), F.coalesce(F.concat(label, F.lit(" ")), F.lit("")), F.lit("Page file_id="), "file_id", F.lit(" page_id="), F.col("page_id").cast("string"), F.lit(" -----\n"), F.coalesce("text", F.lit("")), F.lit("\n")).alias("part"),
+    )
+    per = pages.groupBy("query").agg(F.array_sort(F.collect_list(item)).alias("p"))
+    lines = F.filter(F.transform("p", lambda x: x["line"]), lambda x: x.isNotNull())
+    return per.select("query", F.array_join(lines, "\n").alias("legend"), F.array_join(F.transform("p", lambda x: x["part"]), "\n").alias("block"))
+
+
 def alias_audit(alias: DataFrame) -> DataFrame:
     """One row: count, least and mean cosine, mean rerank score and edges by acceptor, from JSON features."""
     f = alias.select(F.from_json("features_json", "cos_sim double, rerank double, accepted_by string").alias("f")).select("f.cos_sim", "f.rerank", F.coalesce("f.accepted_by", F.lit("unknown")).alias("accepted_by"))

@@ -218,4 +218,102 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.preview(F.concat_ws(" ", "url", "html")).alias("preview"))
 
 
+CLUSTERED = "WITH " + MENTIONS + """, ed AS (SELECT surface, passage, n / sum(n) OVER (PARTITION BY passage) AS w FROM men),
+cl AS (SELECT DISTINCT surface, substr(surface, 1, 4) AS cluster FROM men)
+"""
+
+#: All sentences with their surfaces in DuckDB, sentences by their hash.
+SENTENCE_MENTIONS = r"""
+m AS (SELECT DISTINCT md5(sentence) AS sentence, lower(unnest(regexp_extract_all(sentence, '\p{Lu}\p{Ll}{3,}'))) AS surface FROM sent)
+"""
+
+
+def _sentence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sentence (hash), surface: distinct."""
+    s = sentence_rows(spark, sf_dir)
+    return s.select(F.md5("sentence").alias("sentence"), F.explode(F.array_distinct(X.surfaces(F.col("sentence")))).alias("surface")).distinct()
+
+
+def _by_beginning(surfaces: DataFrame) -> DataFrame:
+    """node, cluster: surfaces by their first four letters."""
+    return surfaces.select(F.col("surface").alias("node"), F.substring("surface", 1, 4).alias("cluster")).distinct()
+
+
+@R.add("WITH " + SENTENCES + "," + SENTENCE_MENTIONS + "SELECT a.surface AS surface_a, b.surface AS surface_b, sentence FROM m a JOIN m b USING (sentence) WHERE a.surface < b.surface")
+def pair_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences that each two surfaces share."""
+    return evidence.pair_sentences(_sentence_mentions(spark, sf_dir))
+
+
+@R.add(
+    CLUSTERED
+    + """, t AS (SELECT cluster, surface, round(sum(w), 4) AS weight FROM ed JOIN cl USING (surface) GROUP BY 1, 2)
+SELECT cluster, surface, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, surface) AS rank FROM t) WHERE rank <= 8"""
+)
+def cluster_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight heaviest surfaces of each cluster."""
+    e = graph.entity_passage_edges(mentions(spark, sf_dir))
+    return evidence.cluster_top_surfaces(e, _by_beginning(e)).select("cluster", "surface", "weight", "rank")
+
+
+@R.add(
+    CLUSTERED
+    + """, t AS (SELECT cluster, passage, round(sum(w), 4) AS weight, array_to_string(list_sort(list(DISTINCT surface))[1:3], ',') AS members FROM ed JOIN cl USING (surface) GROUP BY 1, 2)
+SELECT cluster, passage, weight, members, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY weight DESC, passage) AS rank FROM t) WHERE rank <= 10"""
+)
+def cluster_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten passages that each cluster weighs most in, with three of its surfaces there."""
+    e = graph.entity_passage_edges(mentions(spark, sf_dir))
+    return evidence.cluster_top_passages(e, _by_beginning(e)).select("cluster", "passage", "weight", F.array_join("members", ",").alias("members"), "rank")
+
+
+@R.add(
+    "WITH "
+    + SENTENCES
+    + ","
+    + SENTENCE_MENTIONS
+    + """, x AS (SELECT substr(a.surface, 1, 4) AS cluster, substr(b.surface, 1, 4) AS other, count(*) AS n FROM m a JOIN m b USING (sentence)
+WHERE substr(a.surface, 1, 4) <> substr(b.surface, 1, 4) GROUP BY 1, 2)
+SELECT cluster, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, other) AS rank FROM x) WHERE rank <= 8"""
+)
+def cluster_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight clusters that each cluster shares most sentences with, summed over pairs of members."""
+    m = _sentence_mentions(spark, sf_dir)
+    pairs = evidence.pair_sentences(m).groupBy("surface_a", "surface_b").agg(F.count("*").alias("n"))
+    return evidence.cluster_cooccurrences(pairs, _by_beginning(m)).select("cluster", "other", "n", "rank")
+
+
+@R.add(
+    "WITH "
+    + SENTENCES
+    + ","
+    + SENTENCE_MENTIONS
+    + r""", c AS (SELECT *, substr(surface, 1, 4) AS cluster FROM m),
+q AS (SELECT item_id AS query, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM benchmark WHERE item_id % 100 = 0),
+s AS (SELECT sentence, any_value(list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))) AS w FROM (SELECT md5(sentence) AS sentence, sentence AS t FROM sent) GROUP BY 1),
+own AS (SELECT DISTINCT query, words, cluster AS tail, sentence FROM c, q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query, tail ORDER BY sim DESC, sentence) AS k
+  FROM (SELECT query, tail, sentence, round(len(list_intersect(w, words)) / len(w), 6) AS sim FROM own JOIN s USING (sentence))),
+seen AS (SELECT query, tail, cluster, sentence, sim, min(surface) AS surface FROM ranked JOIN c USING (sentence) WHERE k <= 32 AND cluster <> tail GROUP BY ALL),
+f AS (SELECT query, tail, cluster, arg_min(surface, (-sim, surface)) AS surface, max(sim) AS top, round(avg(sim), 6) AS mean, count(*) AS support,
+  array_to_string(list(sentence ORDER BY sim DESC, sentence)[1:8], ',') AS via FROM seen GROUP BY 1, 2, 3)
+SELECT query, tail, cluster, surface, top, mean, support, via, rank
+FROM (SELECT *, row_number() OVER (PARTITION BY query, tail ORDER BY top DESC, mean DESC, support DESC, cluster) AS rank FROM f) WHERE rank <= 20"""
+)
+def sentence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters beside each other one in the sentences nearest to each question of an id divisible by 100, by shared words."""
+    m = _sentence_mentions(spark, sf_dir)
+    cluster = _by_beginning(m)
+    own = sentence_rows(spark, sf_dir).filter(F.size(X.surfaces(F.col("sentence"))) > 0)
+    own = own.select(F.md5("sentence").alias("sentence"), F.array_distinct(X.words(F.col("sentence"))).alias("w")).dropDuplicates(["sentence"])
+    q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.array_distinct(X.words(F.col("text"))).alias("words"))
+    near = None
+    for block in search.probe_blocks(q, "query"):
+        part = own.join(F.broadcast(block)).select("query", "sentence", F.round(F.size(F.array_intersect("w", "words")) / F.size("w"), 6).alias("sim"))
+        near = part if near is None else near.unionByName(part)
+    tails = m.select("sentence", F.substring("surface", 1, 4).alias("tail")).join(near.select("query", "sentence"), "sentence").select("query", "tail")
+    got = evidence.sentence_neighbours(tails, m, cluster, near)
+    return got.select("query", "tail", "cluster", "surface", "top", "mean", "support", F.array_join("via", ",").alias("via"), "rank")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

@@ -193,4 +193,21 @@ def min_max_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("probe", "vec_id", F.round(min_max(F.col("score"), F.min("score").over(w), F.max("score").over(w)), 4).alias("scaled"))
 
 
+@R.add(
+    BM25_SQL
+    + """SELECT query_id AS query, md5(string_agg('  [^' || rank || '] file_id=' || source || ' page_number=' || doc_id, chr(10) ORDER BY rank)) AS legend,
+md5(string_agg('----- [^' || rank || '] Page file_id=' || source || ' page_id=' || doc_id || ' -----' || chr(10) || coalesce(text, '') || chr(10), chr(10) ORDER BY rank)) AS block
+FROM r JOIN documents USING (doc_id) WHERE rank <= 5 GROUP BY 1"""
+)
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best pages of each question as a numbered block of text with its legend, by digest."""
+    from folioscope.operators.evidence import prompt_blocks as blocks
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("file_id"))
+    best = search.bm25(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), "doc_id", "text", 5)
+    pages = search.small(best.select("query_id", "doc_id", "rank")).join(d, "doc_id")
+    got = blocks(pages.select(F.col("query_id").alias("query"), F.col("rank").alias("number"), "file_id", F.col("doc_id").alias("page_id"), "text"))
+    return got.select("query", F.md5("legend").alias("legend"), F.md5("block").alias("block"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

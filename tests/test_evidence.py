@@ -98,3 +98,39 @@ def test_idf_overlap_counts_frequent_words(spark):
             want = sum(map(idf.get, both)) / sum(map(idf.get, x | y)) if both else None
             assert got.get((i, k)) is None if want is None else abs(got[i, k] - want) < 1e-6
     assert len(got) > surface_idf_overlap(spark, sf).count()  # pairs that share frequent words only
+
+
+CLUSTER = [("a1", "a"), ("a2", "a"), ("b1", "b")]
+
+
+def test_cluster_views(spark):
+    edges = spark.createDataFrame([("a1", "p", 0.5), ("a2", "p", 0.5), ("a1", "q", 0.7), ("b1", "q", 0.2)], "surface string, passage string, weight double")
+    cluster = spark.createDataFrame(CLUSTER, "node string, cluster string")
+    assert [(r.cluster, r.surface, r.weight) for r in E.cluster_top_surfaces(edges, cluster, 1).orderBy("cluster").collect()] == [("a", "a1", 1.2), ("b", "b1", 0.2)]
+    best = E.cluster_top_passages(edges, cluster, 2, 1).orderBy("cluster", "rank").collect()
+    assert [(r.cluster, r.passage, r.weight, r.members) for r in best] == [("a", "p", 1.0, ["a1"]), ("a", "q", 0.7, ["a1"]), ("b", "q", 0.2, ["b1"])]
+    assert E.cluster_top_passages(edges.limit(0), cluster).count() == 0
+
+
+def test_shared_sentences(spark):
+    m = spark.createDataFrame([("s", "a1"), ("s", "b1"), ("s", "b1"), ("t", "a2"), ("t", "a1"), ("t", "x"), ("u", "b1"), ("u", "a2"), ("v", "x")], "sentence string, surface string")
+    pairs = E.pair_sentences(m)
+    assert {(r.surface_a, r.surface_b, r.sentence) for r in pairs.collect()} == {("a1", "b1", "s"), ("a1", "a2", "t"), ("a1", "x", "t"), ("a2", "x", "t"), ("a2", "b1", "u")}
+    cluster = spark.createDataFrame(CLUSTER, "node string, cluster string")
+    got = E.cluster_cooccurrences(pairs.groupBy("surface_a", "surface_b").agg(F.count("*").alias("n")), cluster)
+    assert {(r.cluster, r.other): (r.n, r.rank) for r in got.collect()} == {("a", "b"): (2, 1), ("a", "x"): (2, 2), ("b", "a"): (2, 1), ("x", "a"): (2, 1)}
+
+
+def test_sentence_neighbours(spark):
+    m = spark.createDataFrame([("s", "a1"), ("s", "b1"), ("s", "x"), ("t", "a2"), ("t", "a1"), ("t", "b1"), ("u", "a2"), ("u", "y"), ("v", "z")], "sentence string, surface string")
+    cluster = spark.createDataFrame(CLUSTER, "node string, cluster string")
+    sim = spark.createDataFrame([(1, "s", 0.9), (1, "t", 0.5), (1, "u", 0.1), (1, "v", 1.0)], "query int, sentence string, sim double")
+    got = E.sentence_neighbours(sim.select("query", F.lit("a").alias("tail")), m, cluster, sim, sentences=2).orderBy("rank").collect()
+    assert [(r.cluster, r.surface, r.top, r.mean, r.support, r.via) for r in got] == [("x", "x", 0.9, 0.9, 1, ["s"]), ("b", "b1", 0.9, 0.7, 2, ["s", "t"])]
+
+
+def test_prompt_blocks(spark):
+    rows = [(1, 2, "g", 7, None), (1, 1, "f", 3, "text"), (1, None, "h", 4, "more")]
+    r = E.prompt_blocks(spark.createDataFrame(rows, "query int, number int, file_id string, page_id int, text string")).first()
+    assert r.legend == "  [^1] file_id=f page_number=3\n  [^2] file_id=g page_number=7"
+    assert r.block == "----- [^1] Page file_id=f page_id=3 -----\ntext\n\n----- [^2] Page file_id=g page_id=7 -----\n\n\n----- Page file_id=h page_id=4 -----\nmore\n"
