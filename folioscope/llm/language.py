@@ -134,14 +134,37 @@ def fit(histograms: list[tuple[np.ndarray, np.ndarray]], langs: list[str], seed:
     return Model(names, folded, bias, temperature, float(score[by][fine[-1]]) if len(fine) else 1.0)
 
 
+def last_draws(draws: DataFrame) -> DataFrame:
+    """(lang, last): the draw of rank PER_LANGUAGE of each language, or its largest, of rows (lang, draw).
+
+    A language's ranks are taken on one task, so its rows are cut first to a share of the draws' range in which twice
+    PER_LANGUAGE of them are expected. Where fewer than needed lie there, as with many equal draws, nothing is cut:
+    the ranks are the same with and without the cut.
+    """
+    sizes = draws.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.col("draw").cast("double") / F.lit(2.0**64) + 0.5
+    share = F.lit(2.0 * PER_LANGUAGE) / F.col("n")
+    sized = draws.join(_counted_small(sizes, draws), "lang")
+    low = sized.groupBy("lang", "n").agg(F.sum((place < share).cast("long")).alias("low"))
+    shares = stored(low.select("lang", F.when(F.col("low") >= F.least("n", F.lit(PER_LANGUAGE)), share).alias("share")), "language-shares")
+    cut = draws.join(_counted_small(shares, shares), "lang").filter(F.col("share").isNull() | (place < F.col("share")))
+    # The rank is cut in each task before the shuffle, too, and no text takes part in it.
+    ranked = cut.select("lang", "draw", F.row_number().over(Window.partitionBy("lang").orderBy("draw")).alias("rank"))
+    return ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("draw").alias("last"))
+
+
+def _counted_small(by_language: DataFrame, counted: DataFrame) -> DataFrame:
+    """by_language with a broadcast hint if counted has at most BROADCAST_LANGUAGES languages."""
+    few = counted.select("lang").distinct().limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    return F.broadcast(by_language) if few else by_language
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Fits a model to the labelled rows given; None if there are none."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     rows = rows.withColumn("draw", F.xxhash64("doc_id", "text", F.lit("language")))
-    # The rank is cut in each task before the shuffle, and no text takes part in it.
-    ranked = rows.select("lang", "draw").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
-    last = stored(ranked.filter(F.col("rank") <= PER_LANGUAGE).groupBy("lang").agg(F.max("draw").alias("last")), "language-last")
+    last = stored(last_draws(stored(rows.select("lang", "draw"), "language-draws")), "language-last")
     languages = last.count()
     if not languages:
         return None

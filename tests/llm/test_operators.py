@@ -709,3 +709,19 @@ def test_names():
 
     found = [n for n in entry.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in found) == list(range(1, 11)) and "pipeline" in entry.queries()
+
+
+def test_language_draws(spark):
+    """The cut before the ranks changes no threshold: many rows, few rows, and rows that are all alike."""
+    import random
+
+    r = random.Random(5)
+    draws = [("many", r.randrange(-(2**63), 2**63)) for _ in range(6000)] + [("few", r.randrange(-(2**63), 2**63)) for _ in range(40)]
+    draws += [("alike", 2**62)] * 3000 + [("edge", -(2**63)), ("edge", 2**63 - 1)]
+    draws += [("low", -(2**63) + k) for k in range(2000)] + [("high", 2**63 - 1 - k) for k in range(2000)]
+    got = {x.lang: x.last for x in language.last_draws(spark.createDataFrame(draws, "lang string, draw long").repartition(7)).collect()}
+    want = {}
+    for lang in {x for x, _ in draws}:
+        own = sorted(d for x, d in draws if x == lang)
+        want[lang] = own[min(len(own), language.PER_LANGUAGE) - 1]
+    assert got == want
