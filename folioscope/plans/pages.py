@@ -108,7 +108,16 @@ def role_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("role").agg(F.sum("n").alias("turns"), F.count("*").alias("sessions"), F.sum("c").alias("chars"))
 
 
-@R.add()
+@R.add(
+    "WITH "
+    + SENTENCES
+    + f""", c AS (SELECT doc_id, flatten(list_transform(list(sentence ORDER BY pos), lambda s: CASE WHEN length(s) <= {structure.PASSAGE_BUDGET} THEN [s]
+  ELSE list_transform(range(1, length(s) + 1, {structure.PASSAGE_BUDGET}), lambda i: substr(s, i, {structure.PASSAGE_BUDGET})) END)) AS c FROM sent GROUP BY 1),
+p AS (SELECT doc_id, list_reduce(list_transform(c, lambda x: [x]), lambda a, x: CASE WHEN length(a[-1]) + 1 + length(x[1]) <= {structure.PASSAGE_BUDGET}
+  THEN list_concat(a[:len(a) - 1], [a[-1] || ' ' || x[1]]) ELSE list_concat(a, x) END) AS p FROM c),
+u AS (SELECT doc_id, n, p[n + 1] AS t FROM (SELECT doc_id, p, unnest(range(0, len(p))) AS n FROM p))
+SELECT doc_id, CAST(n AS INTEGER) AS n, CAST(length(t) AS INTEGER) AS chars, md5(t) AS passage FROM u"""
+)
 def passage_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences packed to passages of at most 1200 characters."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(structure.budget_split(X.sentences(F.col("text")))).alias("n", "passage"))

@@ -309,7 +309,7 @@ def surface_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    r"""WITH d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: 'w:' || x)) AS t FROM documents WHERE text IS NOT NULL)
+    r"""WITH d AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(lower(text), '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda x: 'w:' || x)) AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, CAST(len(t) AS INTEGER) + 2 AS n, md5(array_to_string(list_sort(list_concat(t, ['h:保险', 'h:险法'])), ' ')) AS digest FROM d"""
 )
 def surface_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
