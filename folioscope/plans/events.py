@@ -71,7 +71,9 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Complete mode hands on the whole table of counts each time; the last one stands.
     q = E.windowed(source, "1 day").writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max((p["batchId"] for p in q.recentProgress), default=0)
+    last = max((p["batchId"] for p in q.recentProgress if p["numInputRows"]), default=None)
+    if last is None:
+        return spark.createDataFrame([], shape)
     return spark.read.schema(shape).parquet(f"{out}/{last}").withColumn("total", F.round("total", 4))
 
 
@@ -82,4 +84,44 @@ def event_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(keys.alias("x")).groupBy("x.has", "x.k").agg(F.count("*").alias("n"))
 
 
+def _ended(spark: SparkSession, sf_dir: str, f) -> DataFrame:
+    """What a stream over the events gives until it ends, written and read back."""
+    batch = table(spark, sf_dir, "events")
+    stamp = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = graph.shared_path(spark, "stream-rows")
+    found = f(stamp(spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")))
+    E.run_to_end(found, out, graph.shared_path(spark, "stream-marks"))
+    return spark.read.schema(found.schema).parquet(out)
+
+
+@R.add("SELECT CAST(user_id AS VARCHAR) AS run, event_type AS item, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1 AS is_new FROM events")
+def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each user's events, which are the first of their type; the state outlives batches."""
+    found = _ended(spark, sf_dir, lambda e: E.novelty(e.select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("item"), "ts")))
+    return found.select("run", "item", F.unix_micros("ts").alias("ts_us"), "is_new")
+
+
+#: What an event type stands for where users are read as files.
+STATUS_OF = {"signup": "pending", "view": "parsing", "click": "indexing", "purchase": "ready", "error": "failed"}
+
+
+@R.add(
+    "WITH RECURSIVE m AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, b in STATUS_OF.items())
+    + ") AS t(event_type, status)), ok AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{a}', '{b}')" for a, to in E.NEXT_STATUS.items() for b in to)
+    + """) AS t(a, b)),
+e AS (SELECT user_id, status, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id ORDER BY ts, status) AS k FROM events JOIN m USING (event_type)),
+w AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS ts_us, '' AS status_from, '' AS status_to, false AS allowed, 'pending' AS now FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT w.user_id, e.k, e.ts_us, w.now, e.status, ok.a IS NOT NULL, CASE WHEN ok.a IS NOT NULL THEN e.status ELSE w.now END
+FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1 LEFT JOIN ok ON ok.a = w.now AND ok.b = e.status)
+SELECT CAST(user_id AS VARCHAR) AS file_id, ts_us, status_from, status_to, allowed FROM w WHERE k > 0"""
+)
+def stream_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of a state machine for each user, whose event types stand for statuses."""
+    kinds = F.create_map(*[F.lit(x) for pair in STATUS_OF.items() for x in pair])
+    found = _ended(spark, sf_dir, lambda e: E.status_changes(e.select(F.col("user_id").cast("string").alias("file_id"), "ts", kinds[F.col("event_type")].alias("status"))))
+    return found.select("file_id", F.unix_micros("ts").alias("ts_us"), "status_from", "status_to", "allowed")
+
+
 QUERIES, ORACLES = R.queries, R.oracles

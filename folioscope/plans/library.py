@@ -363,4 +363,13 @@ def answer_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(X.weighted_patterns(answer)).alias("p")).select("item_id", "p.pattern", "p.weight")
 
 
+@R.add("SELECT 'k' || vec_id AS key, CASE WHEN vec_id % 3 = 0 THEN 'set ' || vec_id ELSE CAST(label AS VARCHAR) END AS value FROM embeddings")
+def setting_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings with the overrides of every third key."""
+    e = table(spark, sf_dir, "embeddings")
+    key = F.concat(F.lit("k"), "vec_id").alias("key")
+    changed = e.filter("vec_id % 3 = 0").select(key, F.concat(F.lit("set "), "vec_id").alias("value"))
+    return evidence.settings(e.select(key, F.col("label").cast("string").alias("value")), changed)
+
+
 QUERIES, ORACLES = R.queries, R.oracles

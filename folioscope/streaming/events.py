@@ -46,19 +46,21 @@ def stage_pairs(events: DataFrame, late: str = "1 hour") -> DataFrame:
 
 
 def _novel(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = set(state.get[0].split("\x1f")) if state.exists else set()
-    rows = []
-    for pdf in parts:
-        for at, x in sorted(zip(pdf["ts"], pdf["item"], strict=True)):
-            rows.append((key[0], at, x, x not in seen))
-            seen.add(x)
-    state.update(("\x1f".join(sorted(seen)),))
-    yield pd.DataFrame(rows, columns=["run", "ts", "item", "is_new"])
+    seen = state.exists
+    at = sorted(t for pdf in parts for t in pdf["ts"])
+    state.update((True,))
+    yield pd.DataFrame([(*key, t, not seen and k == 0) for k, t in enumerate(at)], columns=["run", "item", "ts", "is_new"])
 
 
 def novelty(events: DataFrame) -> DataFrame:
-    """(run, ts, item, is_new): whether a run has seen an item before, across batches."""
-    return events.groupBy("run").applyInPandasWithState(_novel, "run string, ts timestamp, item string, is_new boolean", "seen string", "append", GroupStateTimeout.NoTimeout)
+    """(run, ts, item, is_new): whether a run has seen an item before, across batches.
+
+    The state is one mark for each item of a run, so that neither a long run nor one with many events is held together.
+    Of rows of one batch the earliest is new.
+    """
+    out = "run string, item string, ts timestamp, is_new boolean"
+    marked = events.groupBy("run", "item").applyInPandasWithState(_novel, out, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    return marked.select("run", "ts", "item", "is_new")
 
 
 def _status(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
