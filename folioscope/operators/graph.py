@@ -50,7 +50,9 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int) ->
     """(node, score) of personalised PageRank over undirected weighted edges (src, dst, weight).
 
     x' = (1 - d) r + d (P^T x + dangling r), r being reset (node, mass) scaled to one. Transition shares
-    are written once; each round is one join and one aggregation, and every fourth is written.
+    are written once; each round is one join and one aggregation, and every fourth is written. Every node with an
+    edge passes its score on, so only reset nodes without one are dangling, and their score follows from round to
+    round without a look at the table.
     """
     both = symmetric(edges).filter("weight > 0 AND src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
@@ -58,13 +60,13 @@ def pagerank(edges: DataFrame, reset: DataFrame, damping: float, rounds: int) ->
     mass = reset.select("node", F.when(F.col("mass") > 0, F.col("mass")).otherwise(0.0).alias("mass"))
     r = mass.join(mass.agg(F.sum("mass").alias("_all")), F.lit(True)).filter("_all > 0").select("node", (F.col("mass") / F.col("_all")).alias("r"))
     r = written(r, "ppr-reset")
-    x = r.withColumnRenamed("r", "score")
-    sources = p.select(F.col("src").alias("node")).distinct()
+    alone = r.join(p.select(F.col("src").alias("node")), "node", "left_anti").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+    x, lost = r.withColumnRenamed("r", "score"), alone
     for k in range(rounds):
-        moved = x.join(p, F.col("node") == F.col("src")).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("s")).select(F.col("dst").alias("node"), "s")
-        dangling = x.join(sources, "node", "left_anti").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        back = r.crossJoin(dangling).select("node", ((1 - damping) * F.col("r") + damping * F.col("lost") * F.col("r")).alias("s"))
-        x = moved.select("node", (damping * F.col("s")).alias("s")).unionByName(back).groupBy("node").agg(F.sum("s").alias("score"))
+        moved = x.join(p, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (damping * F.col("score") * F.col("share")).alias("s"))
+        kept = 1 - damping + damping * lost
+        x = moved.unionByName(r.select("node", (F.lit(kept) * F.col("r")).alias("s"))).groupBy("node").agg(F.sum("s").alias("score"))
+        lost = kept * alone
         if k % 4 == 3:
             x = written(x, "ppr")
     return x
@@ -106,10 +108,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("node").agg(F.min("up").alias("m"))
         small = large.join(least, "node").filter("up <> m").select(F.col("up").alias("node"), F.col("m").alias("up"))
         after = written(small.unionByName(least.withColumnRenamed("m", "up")).distinct(), "components")
-        moving = after.join(after.select(F.col("node").alias("up")).distinct(), "up", "left_semi").limit(1).count()
-        double = after.groupBy("node").count().filter("count > 1").limit(1).count()
+        # A node with two above it, or one that is itself above another.
+        ends = after.select("node", F.lit(1).alias("_own")).unionByName(after.select(F.col("up").alias("node"), F.lit(0).alias("_own")))
+        open_ = ends.groupBy("node").agg(F.sum("_own").alias("_own"), F.min("_own").alias("_least")).filter("_own > 1 OR _own = 1 AND _least = 0").limit(1).count()
         now = after
-        if not moving and not double:
+        if not open_:
             roots = now.select(F.col("up").alias("node"), F.col("up").alias("component")).distinct()
             return now.withColumnRenamed("up", "component").unionByName(roots)
 
