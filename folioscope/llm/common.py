@@ -92,3 +92,14 @@ def crc_mod(col: str, n: int):
 
 def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text column in UTF-8, four bits a step, low ones first."""
+    step = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        step.append(i)
+    digits = f"list_transform(range(1, len(hex(encode({text}))) + 1), lambda k: (strpos('123456789ABCDEF', hex(encode({text}))[CASE WHEN k % 2 = 1 THEN k + 1 ELSE k - 1 END]))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda c, b: xor(c >> 4, ({step}::BIGINT[])[(xor(c, b) & 15) + 1])), 4294967295::BIGINT)"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import archives, bpe, class_lm, decontaminate, exact_dedup, language, simhash, suffix_dedup, token_counts, toxicity
+from folioscope.llm import archives, bpe, class_lm, decontaminate, exact_dedup, language, line_quality, resampling, simhash, spelling, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_class_lm": class_lm.op10_class_lm,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_line_quality": line_quality.op13_line_quality,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontaminate": decontaminate.ORACLE,
         "op2_warc": archives.ORACLE,
         "op9_exact_dedup": exact_dedup.ORACLE,
+        "op11_resampling": resampling.ORACLE,
+        "op12_spelling": spelling.ORACLE,
     }
