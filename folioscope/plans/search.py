@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators import order, search
+from folioscope.operators.graph import shared_path
+from folioscope.operators.word_index import WordIndex
 from folioscope.plans.base import Registry, table
 
 R = Registry()
@@ -44,6 +46,32 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir).select("query_id", "doc_id", "score", "rank")
 
 
+def _word_index(spark: SparkSession, sf_dir: str) -> WordIndex:
+    """An index of all documents, added in two batches."""
+    d = table(spark, sf_dir, "documents").withColumnRenamed("source", "file_id")
+    index = WordIndex(spark, shared_path(spark, "word-index"), buckets=16)
+    second = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    index.append(d.filter(~second), "first")
+    index.append(d.filter(second), "second")
+    return index
+
+
+@R.add(BM25_SQL + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 30")
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 30 best documents of each question, from a stored index of two batches."""
+    return _word_index(spark, sf_dir).search(_queries(spark, sf_dir), 30)[0].select("query_id", "doc_id", "score", "rank")
+
+
+@R.add(
+    BM25_SQL.replace("AS w FROM documents)", "AS w FROM documents WHERE source <> 'src7')") + "SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 30"
+)
+def bm25_index_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after one source has been removed from the index."""
+    index = _word_index(spark, sf_dir)
+    index.remove("src7")
+    return index.search(_queries(spark, sf_dir), 30)[0].select("query_id", "doc_id", "score", "rank")
+
+
 @R.add(
     BM25_SQL
     + """SELECT source, doc_id, round(sum(score) / sqrt(count(*) + 1), 6) AS score, count(*) AS n_hits
