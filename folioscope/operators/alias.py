@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
-from folioscope.operators.graph import shared_path
+from folioscope.operators.graph import shared_path, written
 from folioscope.operators.order import gradient_cut, top_per_group
 
 #: Names the gates that an edge has passed, for audits.
@@ -70,3 +70,32 @@ def admitted(pairs: DataFrame, surfaces: DataFrame, places: DataFrame, least: fl
     best = top_per_group(p, ["src"], [F.desc("score"), F.asc("dst")], most)
     features = F.to_json(F.struct(F.col("score").alias("cos_sim"), F.col("overlap").alias("idf_overlap"), F.lit(RULE).alias("admission_rule_version"), F.lit("gates").alias("accepted_by")))
     return best.select("src", "dst", F.col("score").alias("weight"), "overlap", features.alias("features_json"))
+
+
+def one_edit_pairs(surfaces: DataFrame) -> DataFrame:
+    """(src, dst), both ways: surfaces (node), none empty, that differ by one inserted, deleted or replaced code point.
+
+    Equi-joins on surfaces with one code point taken out; of those that give one key at one place, at most as many as there
+    are code points can differ.
+    """
+    s = surfaces.select("node").filter(F.char_length("node") > 0).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.char_length("node"))).alias("i")
+    cut = F.concat(F.substring("node", F.lit(1), F.col("i") - 1), F.substring("node", F.col("i") + 1, F.char_length("node")))
+    cuts = s.select("node", at).select("node", "i", cut.alias("cut"))
+    other = cuts.select(F.col("node").alias("dst"), "i", "cut")
+    replaced = cuts.join(other, ["i", "cut"]).filter("node <> dst").select(F.col("node").alias("src"), "dst")
+    shorter = cuts.join(s.select(F.col("node").alias("dst")), F.col("cut") == F.col("dst")).select(F.col("node").alias("src"), "dst")
+    longer = shorter.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return replaced.unionByName(shorter).unionByName(longer).distinct()
+
+
+def spelling_aliases(mentions: DataFrame, most: int = 3) -> DataFrame:
+    """(src, dst), both ways: surfaces one edit apart that are among each other's `most` most frequent ones and share no passage.
+
+    mentions is (passage, surface, n).
+    """
+    count = mentions.groupBy(F.col("surface").alias("dst")).agg(F.sum("n").alias("n"))
+    pairs = one_edit_pairs(count.select(F.col("dst").alias("node"))).join(count, "dst")
+    best = written(top_per_group(pairs, ["src"], [F.desc("n"), F.asc("dst")], most).select("src", "dst"), "alias-best")
+    mutual = best.join(best.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
+    return apart(mutual, mentions.select(F.col("passage").alias("place"), F.col("surface").alias("node")))

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.operators import alias
+from folioscope.operators.clusters import ClusterStore
+from folioscope.operators.graph import shared_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,7 +70,44 @@ men AS (
 """
 
 
+#: Alias clusters of surfaces in DuckDB, after MENTIONS; its statement has to be WITH RECURSIVE.
+ALIASES = r"""
+al_s AS MATERIALIZED (SELECT surface AS node, sum(n) AS n FROM men GROUP BY 1),
+al_c AS MATERIALIZED (SELECT node, n, i, substr(node, 1, i - 1) || substr(node, i + 1) AS cut FROM (SELECT node, n, unnest(range(1, length(node) + 1)) AS i FROM al_s)),
+al_p AS MATERIALIZED (
+  SELECT a.node AS src, b.node AS dst, b.n FROM al_c a JOIN al_c b ON a.cut = b.cut AND a.i = b.i AND a.node <> b.node
+  UNION SELECT a.node, b.node, b.n FROM al_c a JOIN al_s b ON a.cut = b.node
+  UNION SELECT b.node, a.node, a.n FROM al_c a JOIN al_s b ON a.cut = b.node),
+al_t AS MATERIALIZED (SELECT src, dst FROM al_p QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) <= 3),
+al_e AS MATERIALIZED (SELECT a.src, a.dst FROM al_t a JOIN al_t b ON a.src = b.dst AND a.dst = b.src
+  WHERE NOT EXISTS (SELECT 1 FROM men x JOIN men y USING (passage) WHERE x.surface = a.src AND y.surface = a.dst)),
+al_r(node, root) AS (SELECT DISTINCT src, src FROM al_e UNION SELECT e.dst, r.root FROM al_r r JOIN al_e e ON e.src = r.node),
+cl AS MATERIALIZED (SELECT node AS surface, min(root) AS cluster FROM al_r GROUP BY 1)
+"""
+
+
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """passage, surface, n: counts of surfaces in distinct passages."""
     p = passages(spark, sf_dir).groupBy("passage").agg(F.first("text").alias("text"))
     return p.select("passage", F.explode(X.surfaces(F.col("text"))).alias("surface")).groupBy("passage", "surface").agg(F.count("*").alias("n"))
+
+
+_LABELS: dict[tuple[str, str], ClusterStore] = {}
+
+
+def alias_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, both ways: admitted aliases among the surfaces of all passages."""
+    return alias.spelling_aliases(written(mentions(spark, sf_dir), "mentions"))
+
+
+def alias_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, cluster: surfaces that have an alias, from a store that an application fills once, in two batches."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LABELS:
+        edges = written(alias_edges(spark, sf_dir).filter("src < dst"), "alias-edges")
+        store = ClusterStore(spark, shared_path(spark, "alias-clusters"))
+        second = F.pmod(F.xxhash64("src", "dst"), F.lit(4)) == 0
+        store.merge(edges.filter(~second), "first")
+        store.merge(edges.filter(second), "second")
+        _LABELS[key] = store
+    return _LABELS[key].labels()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators import evidence, graph, search
-from folioscope.plans.base import MENTIONS, SENTENCES, Registry, mentions, passages, sentence_rows, table
+from folioscope.plans.base import ALIASES, MENTIONS, SENTENCES, Registry, alias_clusters, mentions, passages, sentence_rows, table
 
 R = Registry()
 
@@ -51,32 +51,28 @@ def stop_word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.admitted(m.select("surface", F.lit(0.5).alias("score")).distinct(), stop).select("surface")
 
 
+CLUSTERED = "WITH RECURSIVE " + MENTIONS + "," + ALIASES + ", ed AS (SELECT surface, passage, n / sum(n) OVER (PARTITION BY passage) AS w FROM men)"
+
+
 @R.add(
-    "WITH "
-    + MENTIONS
-    + """, ed AS (SELECT surface, passage, n / sum(n) OVER (PARTITION BY passage) AS w FROM men),
-cl AS (SELECT DISTINCT surface, substr(surface, 1, 4) AS cluster FROM men)
-SELECT cluster, count(DISTINCT passage) AS passages, round(sum(w), 6) AS weight, count(DISTINCT surface) AS size FROM ed JOIN cl USING (surface) GROUP BY 1"""
+    CLUSTERED
+    + """ SELECT cluster, count(DISTINCT passage) AS passages, round(sum(w), 6) AS weight, count(DISTINCT surface) AS size FROM ed JOIN cl USING (surface) GROUP BY 1"""
 )
 def cluster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages, weight and size of clusters by beginning."""
+    """Passages, weight and size of alias clusters."""
     e = graph.entity_passage_edges(mentions(spark, sf_dir))
-    c = e.select(F.col("surface").alias("node"), F.substring("surface", 1, 4).alias("cluster")).distinct()
-    return evidence.cluster_stats(e, c).select("cluster", "passages", F.round("weight", 6).alias("weight"), "size")
+    return evidence.cluster_stats(e, alias_clusters(spark, sf_dir)).select("cluster", "passages", F.round("weight", 6).alias("weight"), "size")
 
 
 @R.add(
-    "WITH "
-    + MENTIONS
-    + """, ed AS (SELECT surface, passage, n / sum(n) OVER (PARTITION BY passage) AS w FROM men),
-c AS (SELECT passage, substr(surface, 1, 4) AS cluster, round(sum(w), 6) AS weight, arg_max(surface, (w, surface)) AS heaviest FROM ed GROUP BY 1, 2)
+    CLUSTERED
+    + """, c AS (SELECT passage, cluster, round(sum(w), 6) AS weight, arg_max(surface, (w, surface)) AS heaviest FROM ed JOIN cl USING (surface) GROUP BY 1, 2)
 SELECT passage, cluster, weight, heaviest, rank FROM (SELECT *, row_number() OVER (PARTITION BY passage ORDER BY weight DESC, cluster) AS rank FROM c) WHERE rank <= 3"""
 )
 def passage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three heaviest clusters of each passage."""
     e = graph.entity_passage_edges(mentions(spark, sf_dir))
-    c = e.select(F.col("surface").alias("node"), F.substring("surface", 1, 4).alias("cluster")).distinct()
-    return evidence.passage_top_clusters(e, c, 3)
+    return evidence.passage_top_clusters(e, alias_clusters(spark, sf_dir), 3)
 
 
 @R.add(
@@ -218,10 +214,6 @@ def previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", X.preview(F.concat_ws(" ", "url", "html")).alias("preview"))
 
 
-CLUSTERED = "WITH " + MENTIONS + """, ed AS (SELECT surface, passage, n / sum(n) OVER (PARTITION BY passage) AS w FROM men),
-cl AS (SELECT DISTINCT surface, substr(surface, 1, 4) AS cluster FROM men)
-"""
-
 #: All sentences with their surfaces in DuckDB, sentences by their hash.
 SENTENCE_MENTIONS = r"""
 m AS (SELECT DISTINCT md5(sentence) AS sentence, lower(unnest(regexp_extract_all(sentence, '\p{Lu}\p{Ll}{3,}'))) AS surface FROM sent)
@@ -234,11 +226,6 @@ def _sentence_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.md5("sentence").alias("sentence"), F.explode(F.array_distinct(X.surfaces(F.col("sentence")))).alias("surface")).distinct()
 
 
-def _by_beginning(surfaces: DataFrame) -> DataFrame:
-    """node, cluster: surfaces by their first four letters."""
-    return surfaces.select(F.col("surface").alias("node"), F.substring("surface", 1, 4).alias("cluster")).distinct()
-
-
 @R.add("WITH " + SENTENCES + "," + SENTENCE_MENTIONS + "SELECT a.surface AS surface_a, b.surface AS surface_b, sentence FROM m a JOIN m b USING (sentence) WHERE a.surface < b.surface")
 def pair_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentences that each two surfaces share."""
@@ -253,7 +240,7 @@ SELECT cluster, surface, weight, rank FROM (SELECT *, row_number() OVER (PARTITI
 def cluster_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight heaviest surfaces of each cluster."""
     e = graph.entity_passage_edges(mentions(spark, sf_dir))
-    return evidence.cluster_top_surfaces(e, _by_beginning(e)).select("cluster", "surface", "weight", "rank")
+    return evidence.cluster_top_surfaces(e, alias_clusters(spark, sf_dir)).select("cluster", "surface", "weight", "rank")
 
 
 @R.add(
@@ -264,34 +251,36 @@ SELECT cluster, passage, weight, members, rank FROM (SELECT *, row_number() OVER
 def cluster_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten passages that each cluster weighs most in, with three of its surfaces there."""
     e = graph.entity_passage_edges(mentions(spark, sf_dir))
-    return evidence.cluster_top_passages(e, _by_beginning(e)).select("cluster", "passage", "weight", F.array_join("members", ",").alias("members"), "rank")
+    return evidence.cluster_top_passages(e, alias_clusters(spark, sf_dir)).select("cluster", "passage", "weight", F.array_join("members", ",").alias("members"), "rank")
 
 
 @R.add(
-    "WITH "
+    CLUSTERED
+    + ","
     + SENTENCES
     + ","
     + SENTENCE_MENTIONS
-    + """, x AS (SELECT substr(a.surface, 1, 4) AS cluster, substr(b.surface, 1, 4) AS other, count(*) AS n FROM m a JOIN m b USING (sentence)
-WHERE substr(a.surface, 1, 4) <> substr(b.surface, 1, 4) GROUP BY 1, 2)
+    + """, mc AS (SELECT sentence, coalesce(cluster, surface) AS cluster FROM m LEFT JOIN cl USING (surface)),
+x AS (SELECT a.cluster, b.cluster AS other, count(*) AS n FROM mc a JOIN mc b USING (sentence) WHERE a.cluster <> b.cluster GROUP BY 1, 2)
 SELECT cluster, other, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, other) AS rank FROM x) WHERE rank <= 8"""
 )
 def cluster_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight clusters that each cluster shares most sentences with, summed over pairs of members."""
     m = _sentence_mentions(spark, sf_dir)
     pairs = evidence.pair_sentences(m).groupBy("surface_a", "surface_b").agg(F.count("*").alias("n"))
-    return evidence.cluster_cooccurrences(pairs, _by_beginning(m)).select("cluster", "other", "n", "rank")
+    return evidence.cluster_cooccurrences(pairs, alias_clusters(spark, sf_dir)).select("cluster", "other", "n", "rank")
 
 
 @R.add(
-    "WITH "
+    CLUSTERED
+    + ","
     + SENTENCES
     + ","
     + SENTENCE_MENTIONS
-    + r""", c AS (SELECT *, substr(surface, 1, 4) AS cluster FROM m),
+    + r""", c AS (SELECT sentence, surface, coalesce(cluster, surface) AS cluster FROM m LEFT JOIN cl USING (surface)),
 q AS (SELECT item_id AS query, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS words FROM benchmark WHERE item_id % 100 = 0),
 s AS (SELECT sentence, any_value(list_distinct(regexp_extract_all(lower(t), '[\p{L}\p{N}]+'))) AS w FROM (SELECT md5(sentence) AS sentence, sentence AS t FROM sent) GROUP BY 1),
-own AS (SELECT DISTINCT query, words, cluster AS tail, sentence FROM c, q),
+own AS (SELECT DISTINCT query, words, cluster AS tail, sentence FROM m JOIN cl USING (surface), q),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query, tail ORDER BY sim DESC, sentence) AS k
   FROM (SELECT query, tail, sentence, round(len(list_intersect(w, words)) / len(w), 6) AS sim FROM own JOIN s USING (sentence))),
 seen AS (SELECT query, tail, cluster, sentence, sim, min(surface) AS surface FROM ranked JOIN c USING (sentence) WHERE k <= 32 AND cluster <> tail GROUP BY ALL),
@@ -303,7 +292,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query, tail ORDER BY top DESC, m
 def sentence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters beside each other one in the sentences nearest to each question of an id divisible by 100, by shared words."""
     m = _sentence_mentions(spark, sf_dir)
-    cluster = _by_beginning(m)
+    cluster = alias_clusters(spark, sf_dir)
     own = sentence_rows(spark, sf_dir).filter(F.size(X.surfaces(F.col("sentence"))) > 0)
     own = own.select(F.md5("sentence").alias("sentence"), F.array_distinct(X.words(F.col("sentence"))).alias("w")).dropDuplicates(["sentence"])
     q = table(spark, sf_dir, "benchmark").filter("item_id % 100 = 0").select(F.col("item_id").alias("query"), F.array_distinct(X.words(F.col("text"))).alias("words"))
@@ -311,7 +300,7 @@ def sentence_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     for block in search.probe_blocks(q, "query"):
         part = own.join(F.broadcast(block)).select("query", "sentence", F.round(F.size(F.array_intersect("w", "words")) / F.size("w"), 6).alias("sim"))
         near = part if near is None else near.unionByName(part)
-    tails = m.select("sentence", F.substring("surface", 1, 4).alias("tail")).join(near.select("query", "sentence"), "sentence").select("query", "tail")
+    tails = m.join(cluster.withColumnRenamed("node", "surface"), "surface").select("sentence", F.col("cluster").alias("tail")).join(near.select("query", "sentence"), "sentence").select("query", "tail")
     got = evidence.sentence_neighbours(tails, m, cluster, near)
     return got.select("query", "tail", "cluster", "surface", "top", "mean", "support", F.array_join("via", ",").alias("via"), "rank")
 

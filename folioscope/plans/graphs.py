@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.scores import hub_damping
-from folioscope.operators import graph
-from folioscope.plans.base import MENTIONS, Registry, mentions, table
+from folioscope.operators import clusters, graph
+from folioscope.plans.base import ALIASES, MENTIONS, Registry, alias_clusters, alias_edges, mentions, table
 
 R = Registry()
 
@@ -17,6 +17,7 @@ EDGES_SQL = (
     + """, ed AS MATERIALIZED (SELECT surface AS src, passage AS dst, n / sum(n) OVER (PARTITION BY passage) AS w FROM men),
 sym AS MATERIALIZED (SELECT src, dst, w FROM ed UNION ALL SELECT dst, src, w FROM ed)"""
 )
+CLUSTERS_SQL = EDGES_SQL + "," + ALIASES
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,15 +65,14 @@ def ppr_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add(
-    EDGES_SQL
-    + """, q AS (SELECT least(x, y) AS src, greatest(x, y) AS dst, w FROM (SELECT substr(src, 1, 4) AS x, dst AS y, w FROM ed))
+    CLUSTERS_SQL
+    + """, q AS (SELECT least(x, y) AS src, greatest(x, y) AS dst, w FROM (SELECT coalesce(cluster, src) AS x, dst AS y, w FROM ed LEFT JOIN cl ON surface = src))
 SELECT src, dst, round(sum(w), 6) AS weight FROM q GROUP BY 1, 2"""
 )
 def ppr_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surfaces contracted by their first four letters; weights of parallel edges add up."""
+    """Surfaces contracted by alias clusters; weights of parallel edges add up."""
     e = _edges(spark, sf_dir)
-    c = e.select(F.col("src").alias("node"), F.substring("src", 1, 4).alias("cluster")).distinct()
-    return graph.quotient(e, c).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return graph.quotient(e, alias_clusters(spark, sf_dir)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 _QSTEPS = "".join(
@@ -84,21 +84,20 @@ _QSTEPS = "".join(
 
 
 @R.add(
-    EDGES_SQL
-    + """, q AS MATERIALIZED (SELECT substr(src, 1, 4) AS src, dst, sum(w) AS w FROM ed GROUP BY 1, 2),
+    CLUSTERS_SQL
+    + """, q AS MATERIALIZED (SELECT coalesce(cluster, src) AS src, dst, sum(w) AS w FROM ed LEFT JOIN cl ON surface = src GROUP BY 1, 2),
 both_ AS (SELECT src, dst, w FROM q UNION ALL SELECT dst, src, w FROM q),
 sh AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM both_),
 seed AS (SELECT DISTINCT src AS node FROM ed WHERE regexp_matches(src, '^(then|reth)')),
-y0 AS MATERIALIZED (SELECT substr(node, 1, 4) AS node, count(*) / (SELECT count(*) FROM seed) AS s FROM seed GROUP BY 1)"""
+y0 AS MATERIALIZED (SELECT coalesce(cluster, node) AS node, count(*) / (SELECT count(*) FROM seed) AS s FROM seed LEFT JOIN cl ON surface = node GROUP BY 1)"""
     + _QSTEPS
-    + f""", m AS (SELECT DISTINCT src AS node, substr(src, 1, 4) AS super FROM ed UNION ALL SELECT DISTINCT dst, dst FROM ed)
+    + f""", m AS (SELECT DISTINCT src AS node, coalesce(cluster, src) AS super FROM ed LEFT JOIN cl ON surface = src UNION ALL SELECT DISTINCT dst, dst FROM ed)
 SELECT m.node, round(s, 8) AS score FROM m JOIN y{ROUNDS} y ON y.node = m.super WHERE round(s, 8) > 0"""
 )
 def ppr_supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personalised PageRank on the graph of contracted surfaces; every member has the score of its super-node."""
     e = _edges(spark, sf_dir)
-    c = e.select(F.col("src").alias("node"), F.substring("src", 1, 4).alias("cluster")).distinct()
-    x = graph.quotient_pagerank(e, c, _seeds(e).withColumn("mass", F.lit(1.0)), 0.5, ROUNDS)
+    x = graph.quotient_pagerank(e, alias_clusters(spark, sf_dir), _seeds(e).withColumn("mass", F.lit(1.0)), 0.5, ROUNDS)
     return x.select("node", F.round("score", 8).alias("score")).filter("score > 0")
 
 
@@ -212,34 +211,54 @@ def cluster_rollup_normsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cluster_scores(*_clusters(spark, sf_dir), "normsum").select("cluster", F.round("score", 6).alias("score"))
 
 
+CANON_SQL = """, canon AS (SELECT cluster, arg_min(node, (0.05 * length(node), -n, node)) AS canonical FROM cl JOIN al_s ON node = surface GROUP BY 1)"""
+
+
+@R.add(CLUSTERS_SQL + CANON_SQL + " SELECT surface AS node, cluster, canonical FROM cl JOIN canon USING (cluster)")
+def alias_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every surface with an alias, its cluster as stored after two batches, and the cluster's canonical surface."""
+    labels = alias_clusters(spark, sf_dir)
+    return labels.join(_canonical(spark, sf_dir, labels), "node").select("node", "cluster", "canonical")
+
+
+def _canonical(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
+    s = mentions(spark, sf_dir).groupBy(F.col("surface").alias("node")).agg(F.sum("n").alias("n"))
+    return clusters.canonical(labels, s.withColumn("surface", F.col("node")))
+
+
 @R.add(
-    EDGES_SQL
-    + """, c AS (SELECT src, min(src) OVER (PARTITION BY substr(src, 1, 5)) AS canon, dst, w FROM ed)
-SELECT canon AS surface, dst AS passage, round(sum(w), 6) AS weight FROM c GROUP BY 1, 2"""
+    CLUSTERS_SQL
+    + CANON_SQL
+    + """, k AS (SELECT surface, canonical FROM cl JOIN canon USING (cluster))
+SELECT coalesce(canonical, src) AS surface, dst AS passage, round(sum(w), 6) AS weight FROM ed LEFT JOIN k ON surface = src GROUP BY 1, 2"""
 )
 def alias_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of surfaces with one beginning moved to the least of them."""
+    """Edges of the surfaces of a cluster moved to its canonical one."""
     e = _edges(spark, sf_dir).withColumnsRenamed({"src": "surface", "dst": "passage"})
-    s = e.select(F.col("surface").alias("node")).distinct()
-    canon = s.groupBy(F.substring("node", 1, 5).alias("k")).agg(F.min("node").alias("canonical"))
-    edges, _ = graph.collapse(e, s.withColumn("k", F.substring("node", 1, 5)).join(canon, "k").select("node", "canonical"))
+    edges, _ = graph.collapse(e, _canonical(spark, sf_dir, alias_clusters(spark, sf_dir)))
     return edges.select("surface", "passage", F.round("weight", 6).alias("weight"))
 
 
+@R.add()
+def alias_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leiden communities of the admitted alias edges: clusters that hang together by few edges come apart."""
+    edges = graph.written(alias_edges(spark, sf_dir).filter("src < dst").withColumn("weight", F.lit(1.0)), "alias-edges")
+    return clusters.leiden(edges, 0.2)
+
+
 @R.add(
-    EDGES_SQL
+    CLUSTERS_SQL
     + """, s0 AS (SELECT DISTINCT src AS node FROM ed WHERE regexp_matches(src, '^(then|reth)')),
-cl AS (SELECT DISTINCT src AS node, substr(src, 1, 4) AS cluster FROM ed),
+cn AS (SELECT surface AS node, cluster FROM cl),
 sz AS (SELECT cluster, count(*) AS size FROM cl GROUP BY 1),
 o AS (SELECT s0.node AS seed, o.node, 1.0 / sqrt(size) AS sim, row_number() OVER (PARTITION BY s0.node ORDER BY o.node) AS k
-  FROM s0 JOIN cl a ON a.node = s0.node JOIN sz ON sz.cluster = a.cluster JOIN cl o ON o.cluster = a.cluster WHERE o.node NOT IN (SELECT node FROM s0))
+  FROM s0 JOIN cn a ON a.node = s0.node JOIN sz ON sz.cluster = a.cluster JOIN cn o ON o.cluster = a.cluster WHERE o.node NOT IN (SELECT node FROM s0))
 SELECT node, 1.0 AS sim FROM s0 UNION ALL SELECT node, round(max(sim), 6) FROM o WHERE k <= 50 GROUP BY 1"""
 )
 def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds and siblings of their clusters at a lower weight."""
     e = _edges(spark, sf_dir)
-    c = e.select(F.col("src").alias("node"), F.substring("src", 1, 4).alias("cluster")).distinct()
-    return graph.seed_spread(_seeds(e).withColumn("sim", F.lit(1.0)), c).select("node", F.round("sim", 6).alias("sim"))
+    return graph.seed_spread(_seeds(e).withColumn("sim", F.lit(1.0)), alias_clusters(spark, sf_dir)).select("node", F.round("sim", 6).alias("sim"))
 
 
 @R.add(
