@@ -16,6 +16,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from folioscope.llm.common import id_and_text, row_keys, stored, table, without, work_dir
 
@@ -30,16 +31,28 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 class DigestIndex:
-    """A table (digest, keep_id) bucketed and sorted by digest, kept at a path of the shared folder."""
+    """A table (digest, keep_id) bucketed and sorted by digest, kept at a path of the shared folder.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str = "BIGINT"):
+    Its layout, the number of buckets and the type of the ids, is stored beside the data when the index is made and
+    holds from then on, whatever the session's settings are; arguments that differ from it are an error.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str | None = None):
         self.spark = spark
-        self.path = path
+        self.path = path.rstrip("/")
         self.name = f"digest_index_{uuid.uuid4().hex[:12]}"
-        n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/layout")
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            held = spark.read.schema("buckets int, id_type string").parquet(f"{self.path}/layout").first()
+            if buckets not in (None, held["buckets"]) or id_type is not None and id_type.lower() != held["id_type"]:
+                raise ValueError(f"the index at {path} has {held['buckets']} buckets and ids of type {held['id_type']}")
+            self.buckets, self.id_type = held
+        else:
+            self.buckets, self.id_type = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), (id_type or "bigint").lower()
+            spark.range(1).select(F.lit(self.buckets).alias("buckets"), F.lit(self.id_type).alias("id_type")).write.parquet(f"{self.path}/layout")
         spark.sql(
-            f"CREATE TABLE {self.name} (digest STRING, keep_id {id_type}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {n} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE {self.name} (digest STRING, keep_id {self.id_type}) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/data'"
         )
 
     def rows(self) -> DataFrame:
@@ -53,7 +66,10 @@ class DigestIndex:
         return winners.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
 
     def append(self, batch: DataFrame) -> None:
-        """Deduplicates the batch against the index and adds what is new."""
+        """Deduplicates the batch against the index and adds what is new; a batch that is added again adds nothing.
+
+        A job that fails leaves nothing that is read. One writer at a time.
+        """
         self.fresh(batch).select("digest", "keep_id").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
@@ -66,15 +82,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Every row with the id that stays for its text, the group's size and whether the row stays.
 
     Rows enter the index in two batches, larger ids first, so that an entry of the index is always the
-    largest id of its text.
+    largest id of its text. Ids that are no numbers, which are compared as texts, enter in one.
     """
     spark = docs.sparkSession
     marks = stored(digests(docs, id_col, text_col), "digests")
-    n, middle = marks.agg(F.count("*"), F.avg("doc_id")).first()
+    number = isinstance(marks.schema["doc_id"].dataType, NumericType)
+    n, middle = marks.agg(F.count("*"), F.avg("doc_id") if number else F.lit(None)).first()
     index = DigestIndex(spark, work_dir(spark, "digest-index"), id_type=marks.schema["doc_id"].dataType.simpleString())
-    upper = F.coalesce(F.col("doc_id") > F.lit(middle or 0.0), F.lit(False))
-    index.append(marks.filter(upper))
-    index.append(marks.filter(~upper))
+    if number:
+        upper = F.coalesce(F.col("doc_id") > F.lit(middle or 0.0), F.lit(False))
+        index.append(marks.filter(upper))
+        index.append(marks.filter(~upper))
+    else:
+        index.append(marks)
 
     sizes = marks.groupBy("digest").agg(F.count("*").alias("group_size"))
     groups = stored(index.rows().join(sizes.hint("merge"), "digest"), "digest-groups")

@@ -107,6 +107,41 @@ def test_exact_hot_group_and_index(spark):
     assert "SortMergeJoin" in index.fresh(again)._jdf.queryExecution().toString()
 
 
+def test_exact_index_keeps_its_layout(spark):
+    """Reopened under another number of shuffle partitions it knows all digests; a repeated batch adds nothing."""
+    from folioscope.llm.common import work_dir
+
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    batch = exact_dedup.digests(spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")))
+    path = work_dir(spark, "index")
+    try:
+        spark.conf.set(key, "4")
+        exact_dedup.DigestIndex(spark, path).append(batch)
+        spark.conf.set(key, "7")
+        opened = exact_dedup.DigestIndex(spark, path)
+        assert opened.buckets == 4 and opened.id_type == "bigint"
+        assert opened.fresh(batch).count() == 0
+        opened.append(batch)
+        spark.conf.set(key, "3")
+        again = exact_dedup.DigestIndex(spark, path)
+        again.append(batch)
+        assert again.rows().count() == 100 and again.rows().select("digest").distinct().count() == 100
+    finally:
+        spark.conf.set(key, before)
+    for wrong in ({"buckets": 7}, {"id_type": "string"}):
+        with pytest.raises(ValueError, match="4 buckets"):
+            exact_dedup.DigestIndex(spark, path, **wrong)
+
+
+def test_exact_groups_of_text_ids(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("10", "x"), (None, "y"), ("c", None), ("d", "")], "doc_id string, text string")
+    got = sorted(str((r.doc_id, r.keep_id, r.group_size, r.kept)) for r in exact_dedup.exact_groups(df).collect())
+    want = [("a", "b", 3, False), ("b", "b", 3, True), ("10", "b", 3, False), (None, None, 1, False), ("c", "d", 2, False), ("d", "d", 2, True)]
+    assert got == sorted(map(str, want))
+    assert sorted(str(r.doc_id) for r in exact_dedup.keep_one(df).collect()) == ["None", "b", "d"]
+
+
 def test_bpe_equals_the_library(docs, empty, table):
     import public_tokenizers
     from tokenizers import Tokenizer
