@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators import evidence, graph, search
+from folioscope.operators.dictionary import dictionary_join
 from folioscope.plans.base import ALIASES, MENTIONS, SENTENCES, Registry, alias_clusters, mentions, passages, sentence_rows, table
 
 R = Registry()
@@ -113,6 +114,19 @@ def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.dictionary_hits(p, words, "passage", "text").groupBy("surface").agg(F.count("*").alias("passages"))
 
 
+@R.add(
+    "WITH "
+    + MENTIONS
+    + r""", tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS surface FROM documents)
+SELECT surface, count(DISTINCT doc_id) AS documents, count(*) AS n FROM tok WHERE surface IN (SELECT surface FROM men) GROUP BY 1"""
+)
+def dictionary_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All surfaces of all passages, looked for in all documents in any case: documents and occurrences."""
+    words = mentions(spark, sf_dir).select("surface").distinct()
+    hits = dictionary_join(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+    return hits.groupBy("surface").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
+
+
 @R.add(
     """
 WITH t AS (SELECT DISTINCT doc_id, 0 AS z, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),

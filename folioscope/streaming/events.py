@@ -66,11 +66,11 @@ def novelty(events: DataFrame) -> DataFrame:
 def _status(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     now = state.get[0] if state.exists else "pending"
     rows = []
-    for pdf in parts:
-        for at, to in sorted(zip(pdf["ts"], pdf["status"], strict=True)):
-            ok = to in NEXT_STATUS.get(now, ())
-            rows.append((key[0], at, now, to, ok))
-            now = to if ok else now
+    # A file's steps of one batch may come in several parts: their order is that of all of them.
+    for at, to in sorted(step for pdf in parts for step in zip(pdf["ts"], pdf["status"], strict=True)):
+        ok = to in NEXT_STATUS.get(now, ())
+        rows.append((key[0], at, now, to, ok))
+        now = to if ok else now
     state.update((now,))
     yield pd.DataFrame(rows, columns=["file_id", "ts", "status_from", "status_to", "allowed"])
 

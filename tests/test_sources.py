@@ -79,6 +79,22 @@ def test_streams(spark, tmp_path):
     assert {r.status: r.error_msg for r in E.reconcile(lost).collect()} == {"failed": "interrupted", "ready": None}
 
 
+def test_order_of_steps_does_not_depend_on_the_batch_size(spark, tmp_path):
+    """Steps of one file in reverse, in parts of two rows: all are allowed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    steps = [("f", 3, "ready"), ("f", 2, "indexing"), ("f", 1, "parsing")]
+    s = spark.createDataFrame(steps, "file_id string, t int, status string").select("file_id", F.timestamp_seconds("t").alias("ts"), "status")
+    s.coalesce(1).write.parquet(f"{tmp_path}/in")
+    try:
+        for n in ("2", "1"):
+            spark.conf.set(key, n)
+            E.run_to_end(E.status_changes(E.read_events(spark, f"{tmp_path}/in", s.schema)), f"{tmp_path}/out{n}", f"{tmp_path}/state{n}")
+            assert {r.status_to: r.allowed for r in spark.read.parquet(f"{tmp_path}/out{n}").collect()} == {"parsing": True, "indexing": True, "ready": True}
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_sql_functions(spark):
     from folioscope.functions import sql
 
