@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, small_batches, table
+from folioscope.llm.common import id_and_text, record_batch, release_memory, small_batches, table
 
 #: Chunks are cut where the top bits of the rolling hash are zero: 2**CUT_BITS characters on average.
 CUT_BITS = 9
@@ -239,6 +239,9 @@ def encode_documents(
             ids = [encoder.encode(t or "") for t in batch.column(1).to_pylist()]
             texts = [encoder.decode(x) for x in ids] if decode else [None] * len(ids)
             yield record_batch(schema, doc_id=batch.column(0), ids=[x.astype("<u4").tobytes() for x in ids], decoded=texts)
+            ids = texts = None
+        del encoder
+        release_memory()
 
     kind = "bigint" if id_type == pa.int64() else "string"
     return source.mapInArrow(run, f"doc_id {kind}, ids binary, decoded string")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -94,6 +96,15 @@ def record_batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
+def release_memory() -> None:
+    """Gives back to the system what a task has freed: its Python worker is used again and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned CRC-32 of a text column in UTF-8, four bits a step, low ones first."""
     step = []

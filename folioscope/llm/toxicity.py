@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import crc_mod, id_and_text, record_batch, small_batches, stored, table
+from folioscope.llm.common import crc_mod, id_and_text, record_batch, release_memory, small_batches, stored, table
 
 POSITIVES = 3000
 UNLABELLED = 9000
@@ -236,6 +236,8 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         score = model.scorer()
         for texts in parts:
             yield texts.map(lambda t: score(t if isinstance(t, str) else None)).astype(float)
+        del score
+        release_memory()
 
     return docs.filter(scored("text") < 0.5)
 
