@@ -7,11 +7,11 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import corpus, events, evidence, export, graphs, library, neighbours, pages, relational, search, structure
+from folioscope.plans import channels, corpus, events, evidence, export, graphs, library, neighbours, pages, relational, search, structure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: list[ModuleType] = [search, corpus, evidence, export, graphs, pages, events, relational, structure, library, neighbours]
+MODULES: list[ModuleType] = [search, corpus, evidence, export, graphs, pages, events, relational, structure, library, neighbours, channels]
 
 
 def queries() -> dict[str, Query]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,13 +96,45 @@ def _ended(spark: SparkSession, sf_dir: str, f) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out)
 
 
-@R.add("SELECT CAST(user_id AS VARCHAR) AS run, event_type AS item, epoch_us(ts) AS ts_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) = 1 AS is_new FROM events")
+@R.add(
+    """SELECT CAST(user_id AS VARCHAR) AS run, event_type AS item, epoch_us(ts) AS ts_us,
+coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id, event_type ORDER BY ts) > 21600000000, true) AS is_new FROM events"""
+)
 def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each user's events, which are the first of their type; the state outlives batches."""
-    found = _ended(spark, sf_dir, lambda e: E.novelty(e.select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("item"), "ts")))
+    """Of each user's events, which are of a type that the user had none of for six hours; the state outlives batches and ends by timers."""
+    source = lambda e: e.select(F.col("user_id").cast("string").alias("run"), F.col("event_type").alias("item"), "ts")
+    found = _ended(spark, sf_dir, lambda e: E.novelty(source(e), timedelta(hours=6)))
     return found.select("run", "item", F.unix_micros("ts").alias("ts_us"), "is_new")
 
 
+@R.add("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, value FROM events) GROUP BY 1")
+def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each type that a stream appends where a row like one before, by user, type and value, is left out; the watermark spans the log."""
+    keyed = lambda e: e.withColumn("key", F.concat_ws(":", "user_id", "event_type", F.coalesce(F.col("value").cast("string"), F.lit("null"))))
+    found = _ended(spark, sf_dir, lambda e: E.first_seen(keyed(e).select("key", "event_type", "ts"), "key", "3650 days"))
+    return found.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@R.add(
+    """SELECT consumer, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events, (VALUES ('early'), ('late')) c(consumer) GROUP BY ALL"""
+)
+def stream_consumers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two consumers of one log with a place of their own each: one reads after each of four parts, one joins after the third and replays it."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    log, runs = graph.shared_path(spark, "log"), graph.shared_path(spark, "consumers")
+
+    def read(consumer: str) -> None:
+        E.run_to_end(E.read_events(spark, f"{log}/*", e.schema), f"{runs}/out/{consumer}", f"{runs}/place/{consumer}")
+
+    for part in range(4):
+        e.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).write.parquet(f"{log}/{part}")
+        read("early")
+        if part >= 2:
+            read("late")
+    both = [spark.read.schema(e.schema).parquet(f"{runs}/out/{c}").withColumn("consumer", F.lit(c)) for c in ("early", "late")]
+    return both[0].unionByName(both[1]).groupBy("consumer", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 #: What an event type stands for where users are read as files.
 STATUS_OF = {"signup": "pending", "view": "parsing", "click": "indexing", "purchase": "ready", "error": "failed"}
 

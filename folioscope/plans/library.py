@@ -25,12 +25,12 @@ def json_lists(rows: DataFrame, key: str, path: str) -> None:
 
 
 @R.add(
-    """SELECT 'set_' || CASE WHEN doc_id % 4 = 0 THEN 'item-' || doc_id || '-' ELSE lpad(CAST(doc_id AS VARCHAR), 6, '0') END AS file_id, source AS title, md5(text) AS text
-FROM documents WHERE doc_id < 1000000 AND text <> ''"""
+    """SELECT 'set_' || CASE WHEN doc_id % 4 = 0 THEN 'item-' || doc_id || '-' ELSE printf('%06d', doc_id) END AS file_id, source AS title, md5(text) AS text
+FROM documents WHERE text <> ''"""
 )
 def corpus_item_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus items written as JSON lists, their texts in one of three fields, and read back."""
-    d = table(spark, sf_dir, "documents").filter("doc_id < 1000000 AND text <> ''")
+    d = table(spark, sf_dir, "documents").filter("text <> ''")
     field = lambda k, name: F.when(F.col("doc_id") % 3 == k, F.col("text")).otherwise(F.lit("")).alias(name)
     idx = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Item "), "doc_id", F.lit("!"))).otherwise(F.col("doc_id").cast("string"))
     path = graph.shared_path(spark, "corpus-items")
@@ -262,11 +262,11 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'given' WHEN 1 THEN 'entity' WHEN 2 THEN 'passage' ELSE 'unknown' END AS kind,
 CASE WHEN doc_id % 3 = 0 AND length(text) > 0 THEN text WHEN doc_id % 3 < 2 THEN source || ' p' || doc_id ELSE 'key' || doc_id END = CASE WHEN doc_id % 3 = 0 THEN text ELSE '' END AS own_label,
 CAST(doc_id AS INTEGER) AS page_number, '![a](img/x' || doc_id || '.png) ![b](https://e.example/x.png) ![c](/abs.png)' AS images,
-CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'markdown' ELSE 'none' END AS blob, 'cell ' || doc_id || chr(10) || 'next' AS plain FROM documents WHERE doc_id < 10000 AND text IS NOT NULL"""
+CASE doc_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'markdown' ELSE 'none' END AS blob, 'cell ' || doc_id || chr(10) || 'next' AS plain FROM documents WHERE text IS NOT NULL"""
 )
 def display_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types, labels, page numbers, image targets, table formats and plain markup of rows."""
-    d = table(spark, sf_dir, "documents").filter("doc_id < 10000 AND text IS NOT NULL")
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
     i = F.col("doc_id")
     pick = lambda n, *values: F.element_at(F.array(*values), (i % n + 1).cast("int"))
     name = pick(4, F.lit("entity-x"), F.lit("entity-y"), F.lit("passage-z"), F.lit("other"))

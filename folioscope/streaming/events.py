@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,22 +47,38 @@ def stage_pairs(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return j.select("run", "stage", "start_ts", "done_ts", (F.unix_millis("done_ts") - F.unix_millis("start_ts")).alias("elapsed_ms"))
 
 
-def _novel(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen = state.exists
-    at = sorted(t for pdf in parts for t in pdf["ts"])
-    state.update((True,))
-    yield pd.DataFrame([(*key, t, not seen and k == 0) for k, t in enumerate(at)], columns=["run", "item", "ts", "is_new"])
+def _novel(keep_us: int):
+    """The state is when an item was seen last; its timer ends it once the watermark is past that by the time to keep."""
 
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        us = np.sort(np.concatenate([pdf["us"].to_numpy(np.int64) for pdf in parts]))
+        before = np.concatenate([us[:1] if last is None else [last], us[:-1]])
+        new = us - before > keep_us
+        new[0] |= last is None
+        last = int(max(us[-1], before[0]))
+        state.update((last,))
+        state.setTimeoutTimestamp(max((last + keep_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"run": key[0], "item": key[1], "us": us, "is_new": new})
 
-def novelty(events: DataFrame) -> DataFrame:
-    """(run, ts, item, is_new): whether a run has seen an item before, across batches.
+    return run
 
-    The state is one mark for each item of a run, so that neither a long run nor one with many events is held together.
-    Of rows of one batch the earliest is new.
+
+def novelty(events: DataFrame, keep: timedelta = timedelta(days=7), late: str = "1 hour") -> DataFrame:
+    """(run, ts, item, is_new): whether an item is new to its run, or was last seen longer ago than `keep`; across batches.
+
+    The state is one mark for each item of a run seen within `keep`: a timer drops it when the watermark, `late` behind
+    the newest event, is past. What is dropped would count as new again anyway, so batches of events that come in
+    order change no result. Of rows of one batch the earliest is new. Rows without a time are left out, as are
+    rows behind the watermark.
     """
-    out = "run string, item string, ts timestamp, is_new boolean"
-    marked = events.groupBy("run", "item").applyInPandasWithState(_novel, out, "seen boolean", "append", GroupStateTimeout.NoTimeout)
-    return marked.select("run", "ts", "item", "is_new")
+    seen = events.filter("ts IS NOT NULL").withWatermark("ts", late).select("run", "item", "ts", F.unix_micros("ts").alias("us"))
+    out = "run string, item string, us bigint, is_new boolean"
+    marked = seen.groupBy("run", "item").applyInPandasWithState(_novel(keep // timedelta(microseconds=1)), out, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return marked.select("run", F.timestamp_micros("us").alias("ts"), "item", "is_new")
 
 
 def _status(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

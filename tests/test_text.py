@@ -21,7 +21,7 @@ def test_clean_surface(spark, given, wanted):
 
 def test_canonical_and_key(spark):
     assert column(spark, X.canonical, "The  Apex Plan", "AN Eclipse", "The 保险") == ["apex plan", "eclipse", "the 保险"]
-    assert column(spark, X.surface_key, "HKD 300", "a", "123", "Nobel Prize,", None) == [None, None, None, "nobel prize", None]
+    assert column(spark, X.surface_key, "HKD 300", "HKD300", "a", "123", "Nobel Prize,", None) == ["hkd 300", None, None, None, "nobel prize", None]
 
 
 def test_predicates(spark):
