@@ -100,9 +100,9 @@ def test_marks_of_items_end_by_timers(spark, tmp_path):
     import os
     from datetime import timedelta
 
-    hour = 3600
+    hour, base = 3600, 400_000
     steps = [(0, "a"), (1, "b"), (20, "a"), (50, "c"), (90, "a"), (91, "a"), (130, "d"), (200, "d")]
-    s = spark.createDataFrame([("r", h * hour, x) for h, x in steps], "run string, t int, item string").select("run", F.timestamp_seconds("t").alias("ts"), "item")
+    s = spark.createDataFrame([("r", (base + h) * hour, x) for h, x in steps], "run string, t int, item string").select("run", F.timestamp_seconds("t").alias("ts"), "item")
     for k, r in enumerate(s.collect()):  # a stream takes files in order of their times
         spark.createDataFrame([r], s.schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
         for name in os.listdir(f"{tmp_path}/in/{k}"):
@@ -110,7 +110,7 @@ def test_marks_of_items_end_by_timers(spark, tmp_path):
     stream = E.novelty(E.read_events(spark, f"{tmp_path}/in/*", s.schema), timedelta(days=1))
     q = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    got = [(r.h, r.item, r.is_new) for r in spark.read.parquet(f"{tmp_path}/out").select((F.unix_seconds("ts") / hour).cast("int").alias("h"), "item", "is_new").orderBy("ts").collect()]
+    got = [(r.h - base, r.item, r.is_new) for r in spark.read.parquet(f"{tmp_path}/out").select((F.unix_seconds("ts") / hour).cast("int").alias("h"), "item", "is_new").orderBy("ts").collect()]
     assert got == [(0, "a", True), (1, "b", True), (20, "a", False), (50, "c", True), (90, "a", True), (91, "a", False), (130, "d", True), (200, "d", True)]
     held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
     assert max(held) >= 2 and held[-1] <= 1
