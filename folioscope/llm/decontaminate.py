@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, small_batches, stored, table
+from folioscope.llm.common import id_and_text, record_batch, release_memory, small_batches, stored, table
 
 WINDOW = 10
 #: Words of one shard, and distance of sampled suffix positions.
@@ -247,6 +247,8 @@ def _searcher(windows: Windows, id_type: pa.DataType):
                     ids, texts, numbers, held = [], [], [], 0
         if ids:
             yield shard(ids, texts, numbers)
+        del ids, texts, numbers
+        release_memory()
 
     return run
 
@@ -378,6 +380,8 @@ def _cutter(windows: Windows, column: int):
                 held, numbers, size = [], [], 0
         if held:
             yield from shard(held, numbers)
+        del held, numbers
+        release_memory()
 
     return run
 
@@ -392,20 +396,20 @@ def cut_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     parts, blocks = _blocks(benchmark, "item_id", "text", block_bytes)
     if parts == 1:
         return docs.mapInArrow(_cutter(Windows(next(blocks)), docs.columns.index(text_col)), docs.schema)
-    key = "_cut_row"
-    while key in docs.columns:
-        key += "_"
+    key, spans = "_cut_row", "_cut_spans"
+    while key in docs.columns or spans in docs.columns:
+        key, spans = key + "_", spans + "_"
     keyed = stored(docs.withColumn(key, F.monotonically_increasing_id()), "benchmark-rows")
     found = _rows_found(keyed.select(F.col(key).alias("row"), F.col(text_col).alias("text")), blocks, WINDOW).filter(F.size("spans") > 0)
-    joined = keyed.join(found.select(F.col("row").alias(key), F.col("spans").alias("_cut_spans")), key, "left")
+    joined = keyed.join(found.select(F.col("row").alias(key), F.col("spans").alias(spans)), key, "left")
     raw = F.encode(F.col(text_col), "UTF-8")
     # What stays: from the end of each span, or the text's front, to the start of the next, or the text's end.
-    starts = F.concat(F.transform("_cut_spans", lambda s: s["start"]), F.array(F.octet_length(raw).cast("bigint")))
-    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("_cut_spans", lambda s: s["end"]))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(raw).cast("bigint")))
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["end"]))
     kept = F.transform(
         F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda s: F.decode(F.substring(raw, (s["a"] + 1).cast("int"), (s["b"] - s["a"]).cast("int")), "UTF-8")
     )
-    text = F.when(F.col("_cut_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
+    text = F.when(F.col(spans).isNull(), F.col(text_col)).otherwise(F.array_join(kept, ""))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import id_and_text, record_batch, row_keys, small_batches, stored, table, without
+from folioscope.llm.common import id_and_text, record_batch, release_memory, row_keys, small_batches, stored, table, without
 
 BITS = 64
 RADIUS = 3
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             made = [text_fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()]
             yield record_batch(schema, doc_id=batch.column(0), fp=np.array(made, np.uint64).astype(np.int64))
+        release_memory()
 
     return source.mapInArrow(run, f"doc_id {'bigint' if number else 'string'}, fp bigint")
 

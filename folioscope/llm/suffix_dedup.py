@@ -340,10 +340,10 @@ def _deal_runs(buckets: int, length: int, gram: int, shared):
         at_hand = np.where(_is_hot(g, shared.value), (g ^ c) * _MIX >> np.uint64(20), g)
         to = np.where(late, -1 - key % buckets, (at_hand % np.uint64(buckets)).astype(np.int64))
         by = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[by], np.arange(-buckets, buckets + 1))
-        some = np.flatnonzero(np.diff(cut)).tolist()
+        some, cut = np.unique(to[by], return_index=True)
+        cut = [*cut.tolist(), len(by)]
         cols = {"gram": g[by], "cover": c[by], "key": key[by], "at": at[by].astype(np.int64), "n": n[by].astype(np.int32)}
-        return record_batch(PACKED, bucket=[p - buckets for p in some], **{x: [v[cut[p] : cut[p + 1]].tobytes() for p in some] for x, v in cols.items()})
+        return record_batch(PACKED, bucket=some, **{x: [v[i:j].tobytes() for i, j in zip(cut, cut[1:], strict=False)] for x, v in cols.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

@@ -242,6 +242,44 @@ def test_fm_index():
             assert at == [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p).all()]
 
 
+def test_cut_spans_with_clashing_columns(spark):
+    """Columns named like the block path's own stay as they are."""
+    from folioscope.llm.decontaminate import cut_spans
+
+    phrase = " ".join(f"w{k}" for k in range(10))
+    rows = [(1, f"before {phrase} after", "x", 5), (2, "clean", None, None), (3, None, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut_spans string, _cut_row long")
+    items = spark.createDataFrame([(k, phrase if k == 3 else f"other {k}") for k in range(8)], "item_id long, text string")
+    want = [(1, "before  after", "x", 5), (2, "clean", None, None), (3, None, "z", 7)]
+    for size in (40, 1 << 24):
+        assert sorted(tuple(r) for r in cut_spans(docs, items, block_bytes=size).collect()) == want
+
+
+def test_packed_runs_find_their_buckets(spark):
+    """A bucket's row holds its runs and no others, whether most buckets are empty or none."""
+    import pyarrow as pa
+
+    from folioscope.llm import suffix_dedup as S
+
+    class Shared:
+        value = np.empty(0, np.uint64)
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcdefgh "), 3000)) for _ in range(4)] + ["same " * 100, "same " * 100]
+    batch = pa.RecordBatch.from_pydict({"key": list(range(len(texts))), "text": texts})
+    wanted = None
+    for buckets in (1, 40, 4_000_000):
+        rows = [r for out in S._deal_runs(buckets, 100, 24, Shared)(iter([batch])) for r in out.to_pylist()]
+        assert len({r["bucket"] for r in rows}) == len(rows)
+        runs = []
+        for r in rows:
+            grams = np.frombuffer(r["gram"], np.uint64)
+            assert r["bucket"] < 0 or set((grams % np.uint64(buckets)).tolist()) == {r["bucket"]}
+            runs += zip(np.frombuffer(r["key"], np.int64).tolist(), np.frombuffer(r["at"], np.int64).tolist(), grams.tolist(), strict=True)
+        wanted = wanted or sorted(runs)
+        assert sorted(runs) == wanted
+
+
 def test_simhash(docs, empty):
     def brute(text):
         w = (text or "").encode().lower().split()
