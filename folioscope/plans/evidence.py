@@ -108,10 +108,10 @@ SELECT surface, count(*) AS passages FROM (
   SELECT DISTINCT passage, unnest(list_intersect(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), ['idiot', 'clown', 'moron', 'worthless', 'pathetic'])) AS surface FROM s) GROUP BY 1"""
 )
 def dictionary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages with words of a dictionary, by one automaton over whole texts."""
+    """Passages with words of a small dictionary; `dictionary_surfaces` looks for a large one."""
     p = passages(spark, sf_dir).groupBy("passage").agg(F.first("text").alias("text"))
     words = spark.createDataFrame([(w,) for w in ("idiot", "clown", "moron", "worthless", "pathetic")], "surface string")
-    return evidence.dictionary_hits(p, words, "passage", "text").groupBy("surface").agg(F.count("*").alias("passages"))
+    return dictionary_join(p, words, "passage", "text").groupBy("surface").agg(F.count("*").alias("passages"))
 
 
 @R.add(

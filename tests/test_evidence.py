@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
 from folioscope.operators import evidence as E
+from folioscope.operators.dictionary import dictionary_join
 
 
 def test_dictionary_hits(spark):
     docs = spark.createDataFrame([(1, "Apex plan, apexplan; APEX PLAN_x apex plan"), (2, None), (3, "万通保险公司")], "id int, text string")
     words = spark.createDataFrame([("Apex Plan",), ("通保险公",), ("abc",)], "surface string")
-    assert {(r.id, r.surface): r.n for r in E.dictionary_hits(docs, words, "id", "text").collect()} == {(1, "apex plan"): 2, (3, "通保险公"): 1}
+    assert {(r.id, r.surface): r.n for r in dictionary_join(docs, words, "id", "text").collect()} == {(1, "apex plan"): 2, (3, "通保险公"): 1}
 
 
 def test_filters(spark):
