@@ -12,7 +12,6 @@ from folioscope.functions.text import WORD_PATTERN
 from folioscope.operators.order import top_per_group
 
 
-
 def passages_of_surface(edges: DataFrame, passages: DataFrame, pattern: str) -> DataFrame:
     """(surface, passage, ...) of surfaces that match a pattern, case aside; the filter is on the narrow side."""
     hit = edges.filter(F.col("surface").rlike("(?i)" + pattern))
