@@ -47,8 +47,15 @@ def embedder(encode: Callable[[list[str]], list[list[float]]] | None = None):
     return embed
 
 
-def reranker(score: Callable[[list[str], list[str]], list[float]] | None = None):
-    """A column function from (query, text) to a score; without a model the share of query words in the text."""
+#: Fixed value: code points of a text that a reranking model is shown.
+RERANK_LENGTH = 6000
+
+
+def reranker(score: Callable[[list[str], list[str]], list[float]] | None = None, length: int | None = RERANK_LENGTH):
+    """A column function from (query, text) to a score; without a model the share of query words in the text.
+
+    Texts are shown up to `length` code points, whole if it is None.
+    """
 
     def overlap(queries: list[str], texts: list[str]) -> list[float]:
         out = []
@@ -61,6 +68,6 @@ def reranker(score: Callable[[list[str], list[str]], list[float]] | None = None)
 
     @F.pandas_udf("double")
     def rerank(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series(run(queries.fillna("").tolist(), texts.fillna("").str.slice(0, 6000).tolist()))
+        return pd.Series(run(queries.fillna("").tolist(), texts.fillna("").str.slice(0, length).tolist()))
 
     return rerank

@@ -59,6 +59,8 @@ def test_plugins(spark):
     df = spark.createDataFrame([("apex plan", "the apex plan"), ("zenith", None)], "q string, t string")
     got = df.select(plugins.reranker()("q", "t").alias("s"), vectors.cosine(plugins.embedder()("q"), plugins.embedder()("q")).alias("c")).collect()
     assert [r.s for r in got] == [1.0, 0.0] and all(abs(r.c - 1) < 1e-9 for r in got)
+    long = spark.createDataFrame([("end", "x " * 4000 + "end")], "q string, t string")
+    assert long.select(plugins.reranker()("q", "t"), plugins.reranker(length=None)("q", "t")).first()[:] == (0.0, 1.0)
 
 
 def test_streams(spark, tmp_path):
