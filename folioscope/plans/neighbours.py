@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.operators import alias, search, vector_index
+from folioscope.operators import alias, search, vector_graph, vector_index
 from folioscope.plans.base import Registry, table
 
 R = Registry()
@@ -34,6 +34,23 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.crossJoin(probes.agg(F.count("*").alias("probes"))).select("probes", F.col("n").alias("wanted"), (F.col("hits") >= 0.9 * F.col("n")).alias("reached"))
 
 
+@R.add()
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each probe that walks over the proximity graphs find. Recall is that of graph_recall."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector_graph.nearest(vector_graph.build(e, "vec_id", "embedding", k=10), e.filter("vec_id % 100 = 0"), 10).select("probe", "vec_id", "score", "rank")
+
+
+@R.add("SELECT count(DISTINCT p.vec_id) AS probes, CAST(count(DISTINCT p.vec_id) * 10 AS BIGINT) AS wanted, true AS reached, true AS fewer FROM embeddings p WHERE vec_id % 100 = 0")
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the walks find nine tenths of the exact neighbours, and compare less than half of what a scan does."""
+    e = table(spark, sf_dir, "embeddings")
+    probes, index = e.filter("vec_id % 100 = 0"), vector_graph.build(e, "vec_id", "embedding", k=10)
+    got = vector_index.recall_of(vector_graph.nearest(index, probes, 10), search.dense(e, probes, "vec_id", "embedding", 10), "vec_id")
+    whole = got.crossJoin(probes.agg(F.count("*").alias("probes"))).crossJoin(vector_graph.compared_share(index, probes, 10))
+    return whole.select("probes", F.col("n").alias("wanted"), (F.col("hits") >= 0.9 * F.col("n")).alias("reached"), (2 * F.col("compared") < F.col("of")).alias("fewer"))
+
+
 @R.add(
     f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT a.vec_id AS probe, b.vec_id, round(list_inner_product(b.v, a.v), 6) AS score FROM e a, e b WHERE a.vec_id <> b.vec_id),
