@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioscope.functions import sql
 from folioscope.operators import export
+from folioscope.operators.graph import written
 from folioscope.plans.base import SENTENCES, Registry, table
 
 R = Registry()
@@ -65,4 +67,37 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT source, content_hash(text) AS h, md5(one_line(text)) AS t FROM documents")
 
 
+@R.add("SELECT l_returnflag, l_linestatus, round(max_l + ln(s), 6) AS lse FROM (SELECT l_returnflag, l_linestatus, any_value(m) AS max_l, sum(exp(l_quantity / 7 - m)) AS s FROM (SELECT *, max(l_quantity / 7) OVER (PARTITION BY l_returnflag, l_linestatus) AS m FROM lineitem) GROUP BY ALL)")
+def sql_log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate registered for SQL, over four groups that hold all rows: parts by salt first, then their merge."""
+    sql.register(spark)
+    table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "l_orderkey", "CAST(l_quantity AS DOUBLE) / 7 AS x").createOrReplaceTempView("salted_items")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = sql.MERGED.format(key="l_returnflag, l_linestatus", name="log_sum_exp", value="x", table="salted_items", salt="l_orderkey", parts=parts)
+    return spark.sql(f"SELECT l_returnflag, l_linestatus, round(log_sum_exp, 6) AS lse FROM ({merged})")
+
+
+@R.add(
+    """WITH g AS (SELECT event_id, user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events)
+SELECT event_id, user_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_no FROM g"""
+)
+def sql_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function with a table argument, whose result type and order follow from its input: session numbers of events."""
+    sql.register(spark)
+    sql.views(spark, sf_dir, ["events"])
+    return spark.sql("SELECT event_id, user_id, session_no FROM gap_sessions(TABLE(SELECT event_id, user_id, ts FROM events), 'user_id', 'ts', 1800D)")
+
+
+@R.add("SELECT event_type, date_trunc('month', ts)::DATE AS month, count(DISTINCT CAST(ts AS DATE)) AS days, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY ALL")
+def sketch_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by type and month from stored sketches of days: they are merged without the events, and lie within a twentieth of the exact count."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    daily = e.groupBy("event_type", "day").agg(F.hll_sketch_agg("user_id", F.lit(14)).alias("users"))
+    stored = written(daily, "daily-sketches")
+    month = F.trunc("day", "month").alias("month")
+    merged = stored.groupBy("event_type", month).agg(F.count("*").alias("days"), F.hll_sketch_estimate(F.hll_union_agg("users")).alias("about"))
+    exact = e.groupBy("event_type", month).agg(F.count_distinct("user_id").alias("users"))
+    return merged.join(exact, ["event_type", "month"]).select("event_type", "month", "days", "users", (F.abs(F.col("about") - F.col("users")) <= 0.05 * F.col("users") + 1).alias("near"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

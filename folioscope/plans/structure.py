@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import folding
 from folioscope.functions import text as X
 from folioscope.operators import evidence, structure
 from folioscope.plans.base import MENTIONS, Registry, mentions, table
@@ -297,6 +298,37 @@ def surface_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_surfaces(spark, sf_dir).select("raw", X.surface_key(F.col("raw")).alias("key"))
 
 
+#: How a surface is damaged, in turn: what is replaced, and by what.
+DAMAGES = [
+    [("é", "e\u0301"), ("ñ", "n\u0303")],
+    [("é", "&eacute;"), ("ü", "&#252;"), ("ó", "&#xF3;")],
+    [("é", "Ã©"), ("ñ", "Ã±"), ("ü", "Ã¼"), ("è", "Ã¨")],
+    [("ffi", "ﬃ"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ij", "ĳ")],
+    [("a", "ａ"), ("e", "ｅ"), ("n", "ｎ")],
+]
+
+
+def _damaged_sql(column: str, pairs: list[tuple[str, str]]) -> str:
+    for old, new in pairs:
+        column = f"replace({column}, '{old}', '{new}')"
+    return column
+
+
+@R.add(
+    "WITH " + MENTIONS + ", s AS (SELECT DISTINCT surface FROM men), d AS (" + " UNION ALL ".join(f"SELECT surface, {_damaged_sql('surface', pairs)} AS raw FROM s" for pairs in DAMAGES) + ") SELECT DISTINCT raw, surface AS key FROM d"
+)
+def folded_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Surfaces as bad extraction leaves them (marks apart, entities, misread bytes, ligatures, wide letters), and their keys."""
+    s = mentions(spark, sf_dir).select("surface").distinct()
+    made = []
+    for pairs in DAMAGES:
+        raw = F.col("surface")
+        for old, new in pairs:
+            raw = F.replace(raw, F.lit(old), F.lit(new))
+        made.append(raw)
+    return s.select(F.explode(F.array(*made)).alias("raw")).distinct().select("raw", X.surface_key(F.col("raw"), folding.han_pairs(spark)).alias("key"))
+
+
 @R.add(
     RAW_SQL
     + """SELECT raw, k IN (3, 4, 5) AS composite, CAST(CASE k WHEN 5 THEN 3 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS n_parts, k = 3 OR length(raw) > 40 AND k <> 4 AS misbound,

@@ -1,8 +1,12 @@
 """Text functions on literal cases."""
 
+import sys
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import folding
 from folioscope.functions import text as X
 
 
@@ -43,3 +47,27 @@ def test_small_functions(spark):
 def test_sentences(spark):
     text = "Einstein won the Nobel Prize. Curie also won the Nobel Prize!\n\nShort. The award is prestigious."
     assert column(spark, X.sentences, text, "", None) == [["Einstein won the Nobel Prize.", "Curie also won the Nobel Prize!", "The award is prestigious."], [], None]
+
+
+def test_nfkc_of_all_code_points(spark):
+    points = [c for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and c != 0xFEFF]  # a mark of byte order to the decoder
+    df = spark.range(1, sys.maxunicode + 1).filter("NOT id BETWEEN 55296 AND 57343 AND id <> 65279").repartition(4)
+    back = df.select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    got = dict(back.select("id", folding.nfkc(F.concat(F.lit("a"), F.col("c"), F.lit("\u0301"))).alias("k")).toPandas().itertuples(index=False, name=None))
+    assert got == {c: unicodedata.normalize("NFKC", f"a{chr(c)}\u0301") for c in points}
+
+
+def test_repair_and_entities(spark):
+    given = ["FranÃ§ois &amp; cafÃ©", "&eacute;t&eacute; &#8364;&#x41;", "Ã\x83Â©", "naïve É“ A&B", "â\x80\x99s â€™s", "e\u0301", "", None]
+    assert column(spark, folding.decoded, *given) == ["François & café", "été €A", "é", "naïve É“ A&B", "’s ’s", "é", "", None]
+    assert column(spark, X.surface_key, "ﬁnance", "The Ｃａｆé", "Caf&eacute; Ⅳ") == ["finance", "café", "café iv"]
+
+
+def test_simplified_han(spark):
+    pairs = folding.han_pairs(spark)
+    assert len(pairs[0]) == len(pairs[1]) > 1000
+    key = lambda c: X.surface_key(c, pairs)
+    assert column(spark, key, "萬通保險", "富饒萬家儲蓄保險計劃", "万通保险", "盛利II", None) == ["万通保险", "富饶万家储蓄保险计划", "万通保险", "盛利ii", None]
+    phrases = {"乾坤": "乾坤", "乾坤大": "乾坤·大", "頭髮": "头发"}
+    fold = lambda c: folding.simplified(c, pairs, phrases)
+    assert column(spark, fold, "乾坤與頭髮", "乾坤大", "萬", "", None) == ["乾坤与头发", "乾坤·大", "万", "", None]
