@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import vectors
 from folioscope.operators import search
-from folioscope.operators.graph import shared_path
+from folioscope.operators.graph import shared_path, written
 from folioscope.operators.order import top_per_group
 
 #: Bytes of the vectors of one shard, about; a shard is one row of the index, so this bounds the memory of a task.
@@ -33,7 +33,7 @@ SHARDS = "shard int, keys array<string>, points binary, links binary, degree int
 
 @dataclass
 class GraphIndex:
-    """shards: a row a graph, over distinct vectors; members: (key, id), every row with the key of its vector."""
+    """shards: a row a graph, over distinct vectors; members: (key, id), every row with the key of its vector, columns of one table in the shared folder."""
 
     shards: DataFrame
     members: DataFrame
@@ -50,25 +50,24 @@ def build(table: DataFrame, id_col: str, vector_col: str, k: int = 10, recall: f
     out; repeated ids count once for each vector. Vectors must have one width; a vector without length is at 0 from all.
     """
     spark = table.sparkSession
-    rows = keyed(table, id_col, vector_col).filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
-    members_at, shards_at = shared_path(spark, "graph-members"), shared_path(spark, "graph-shards")
-    rows.select("key", id_col).distinct().write.parquet(members_at)
+    rows = written(keyed(table, id_col, vector_col).filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()), "graph-rows")
+    shards_at = shared_path(spark, "graph-shards")
     points = rows.groupBy("key").agg(F.first(vector_col).alias("v"))
     n, width = points.agg(F.count("*"), F.max(F.size("v"))).first()
     shards = max(1, -(-n * 8 * (width or 1) // shard_bytes))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
     dealt.groupBy("shard").applyInPandas(_shard, SHARDS).write.parquet(shards_at)
-    members = spark.read.schema(f"key string, {id_col} {dict(table.dtypes)[id_col]}").parquet(members_at)
-    index = GraphIndex(spark.read.schema(SHARDS).parquet(shards_at), members, id_col, vector_col)
+    index = GraphIndex(spark.read.schema(SHARDS).parquet(shards_at), rows.select("key", id_col), id_col, vector_col)
     if n > 1:
         index.beam = _beam_for(index, rows, k, recall)
     return index
 
 
 def keyed(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(key, id, vector): unit vectors as doubles, and a digest that only equal ones share."""
+    """(key, id, vector): unit vectors as doubles, and 128 bits of hash that equal ones share."""
     unit = table.select(id_col, vectors.unit(F.col(vector_col)).cast("array<double>").alias(vector_col))
-    return unit.select(F.md5(F.array_join(F.col(vector_col).cast("array<string>"), ",")).alias("key"), id_col, vector_col)
+    halves = [F.lpad(F.hex(F.xxhash64(*seed, vector_col)), 16, "0") for seed in ([], [F.lit(1)])]
+    return unit.select(F.concat(*halves).alias("key"), id_col, vector_col)
 
 
 def nearest(index: GraphIndex, probes: DataFrame, k: int, beam: int | None = None) -> DataFrame:
@@ -79,7 +78,7 @@ def nearest(index: GraphIndex, probes: DataFrame, k: int, beam: int | None = Non
         walked = walks(index, block, k, [beam or index.beam]).filter("key IS NOT NULL")
         keys = top_per_group(walked.select("probe", "key", "score"), ["probe"], [F.desc("score"), F.asc("key")], k + 1).drop("rank")
         # rows of one vector are at one distance, so the k + 1 smallest ids of each are enough; they are cut before the shuffle
-        wanted = index.members.join(keys.select("key").distinct(), "key", "left_semi")
+        wanted = index.members.join(keys.select("key").distinct(), "key", "left_semi").distinct()
         few = top_per_group(wanted, ["key"], [F.asc(i)], k + 1).drop("rank")
         both = keys.join(few, "key").filter(F.col("probe") != F.col(i)).select("probe", i, "score")
         found = top_per_group(both, ["probe"], [F.desc("score"), F.asc(i)], k)
