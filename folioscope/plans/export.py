@@ -69,7 +69,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add("SELECT l_returnflag, l_linestatus, round(max_l + ln(s), 6) AS lse FROM (SELECT l_returnflag, l_linestatus, any_value(m) AS max_l, sum(exp(l_quantity / 7 - m)) AS s FROM (SELECT *, max(l_quantity / 7) OVER (PARTITION BY l_returnflag, l_linestatus) AS m FROM lineitem) GROUP BY ALL)")
 def sql_log_sum_exp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An aggregate registered for SQL, over four groups that hold all rows: parts by salt first, then their merge."""
+    """An aggregate registered for SQL, over a few groups that hold all rows: parts by salt first, then their merge."""
     sql.register(spark)
     table(spark, sf_dir, "lineitem").selectExpr("l_returnflag", "l_linestatus", "l_orderkey", "CAST(l_quantity AS DOUBLE) / 7 AS x").createOrReplaceTempView("salted_items")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
