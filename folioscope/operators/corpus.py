@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as X
 from folioscope.operators.order import neighbours
 
 
@@ -44,3 +45,15 @@ def drift(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys of one snapshot only, with the side that has them."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+def unique_surfaces(found: DataFrame, id_col: str, items_col: str) -> DataFrame:
+    """(id, surfaces): normalised surfaces of each id's list, first occurrences in order; null and empty lists give empty ones.
+
+    Distinct surfaces are normalised once each, not once an occurrence.
+    """
+    rows = found.select(id_col, F.posexplode_outer(F.array_distinct(items_col)).alias("_pos", "_raw"))
+    keys = rows.select("_raw").filter("_raw IS NOT NULL").distinct().select("_raw", X.surface_key(F.col("_raw")).alias("_key"))
+    kept = rows.join(keys, "_raw", "left").select(id_col, F.when(F.length("_key") > 0, F.struct("_pos", "_key")).alias("_k"))
+    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list("_k")), lambda k: k["_key"]))
+    return kept.groupBy(id_col).agg(listed.alias("surfaces"))

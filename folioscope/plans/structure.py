@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import folding
 from folioscope.functions import text as X
-from folioscope.operators import evidence, structure
+from folioscope.operators import corpus, evidence, structure
 from folioscope.plans.base import MENTIONS, Registry, mentions, table
 from folioscope.sources import readers
 
@@ -359,8 +359,9 @@ SELECT d.doc_id, CAST(count(x) AS INTEGER) AS n, md5(coalesce(string_agg(x, ' '
 def unique_surface_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised surfaces of a document, each once, as they first appear."""
     d = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
-    d = d.select("doc_id", X.unique_in_order(F.regexp_extract_all("text", F.lit(X.SURFACE_PATTERN), F.lit(0))).alias("u"))
-    return d.select("doc_id", F.size("u").alias("n"), F.md5(F.array_join("u", " ")).alias("digest"))
+    d = d.select("doc_id", F.regexp_extract_all("text", F.lit(X.SURFACE_PATTERN), F.lit(0)).alias("found"))
+    u = corpus.unique_surfaces(d, "doc_id", "found")
+    return u.select("doc_id", F.size("surfaces").alias("n"), F.md5(F.array_join("surfaces", " ")).alias("digest"))
 
 
 QUERIES, ORACLES = R.queries, R.oracles

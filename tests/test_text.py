@@ -71,3 +71,11 @@ def test_simplified_han(spark):
     phrases = {"乾坤": "乾坤", "乾坤大": "乾坤·大", "頭髮": "头发"}
     fold = lambda c: folding.simplified(c, pairs, phrases)
     assert column(spark, fold, "乾坤與頭髮", "乾坤大", "萬", "", None) == ["乾坤与头发", "乾坤·大", "万", "", None]
+
+
+def test_unique_surfaces(spark):
+    from folioscope.operators.corpus import unique_surfaces
+
+    rows = [(1, ["The Apex", "Nobel,", "apex", "usd300", None, "NOBEL"]), (2, []), (3, None)]
+    got = unique_surfaces(spark.createDataFrame(rows, "id int, s array<string>"), "id", "s")
+    assert {r.id: r.surfaces for r in got.collect()} == {1: ["apex", "nobel"], 2: [], 3: []}
