@@ -37,8 +37,8 @@ def headings(pages: DataFrame) -> DataFrame:
 
 def markdown_blocks(pages: DataFrame) -> DataFrame:
     """(file_id, page, pos, kind, text): paragraphs between blank lines, ATX headings of their own; image placeholders go."""
-    parted = F.regexp_replace("text", r"(?m)^(#{1,6} +.*)$", "\n\n$1\n\n")
-    pieces = F.filter(F.transform(F.split(parted, r"\n[ \t]*\n+"), F.trim), lambda x: (F.length(x) > 0) & ~x.rlike(r"^(!\[[^\]]*\]\([^)]*\)|<img[^>]*>|<!--.*-->)$"))
+    parted = F.regexp_replace("text", r"(?md)^(#{1,6} +.*)$", "\n\n$1\n\n")
+    pieces = F.filter(F.transform(F.split(parted, r"\n[ \t]*\n+"), lambda x: F.trim(x)), lambda x: (F.length(x) > 0) & ~x.rlike(r"^(!\[[^\]]*\]\([^)]*\)|<img[^>]*>|<!--.*-->)$"))
     rows = pages.select("file_id", "page", F.posexplode(pieces).alias("pos", "text"))
     kind = F.when(F.col("text").rlike(r"^#{1,6} +[^ ]"), "heading").otherwise("paragraph")
     return rows.select("file_id", "page", "pos", kind.alias("kind"), F.trim(F.regexp_replace("text", r"^#{1,6} +", "")).alias("text"))

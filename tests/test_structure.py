@@ -59,3 +59,10 @@ def test_markdown_blocks(spark):
     df = spark.createDataFrame([("f", 1, md), ("g", 1, None), ("h", 1, "")], "file_id string, page long, text string")
     got = [(r.kind, r.text) for r in S.markdown_blocks(df).orderBy("pos").collect()]
     assert got == [("paragraph", "intro line\nsame paragraph"), ("heading", "Head"), ("paragraph", "body"), ("paragraph", "end")]
+
+
+def test_blocks_keep_their_digits(spark):
+    """Blanks are trimmed, not the digits of a block's own number; a heading ends at a line feed only."""
+    df = spark.createDataFrame([("f", 1, "# 0 zero 0\n  10 one 1 \n\n22 two 2\n# a\rb\u2028c\n3")], "file_id string, page long, text string")
+    got = [(r.kind, r.text) for r in S.markdown_blocks(df).orderBy("pos").collect()]
+    assert got == [("heading", "0 zero 0"), ("paragraph", "10 one 1"), ("paragraph", "22 two 2"), ("heading", "a\rb\u2028c"), ("paragraph", "3")]

@@ -79,3 +79,7 @@ def test_unique_surfaces(spark):
     rows = [(1, ["The Apex", "Nobel,", "apex", "usd300", None, "NOBEL"]), (2, []), (3, None)]
     got = unique_surfaces(spark.createDataFrame(rows, "id int, s array<string>"), "id", "s")
     assert {r.id: r.surfaces for r in got.collect()} == {1: ["apex", "nobel"], 2: [], 3: []}
+
+
+def test_catalogue_parts_keep_their_digits(spark):
+    assert column(spark, X.catalogue_parts, "0 zero 0、 10 one 1；2") == [["0 zero 0", "10 one 1", "2"]]
