@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions import vectors
 from folioscope.functions.text import WORD_PATTERN
 from folioscope.operators.order import top_per_group
 
@@ -178,13 +177,9 @@ def expand(seeds: DataFrame, mentions: DataFrame, similarity: DataFrame, rounds:
 def seed_search(probes: DataFrame, stored: DataFrame, k: int = 50, floor: float = 0.4, drop: float = 0.3) -> DataFrame:
     """(probe, node, sim, rank): nearest stored vectors (node, v) of stated probes (probe, q), down to a floor and a steep drop."""
     from folioscope.operators.order import gradient_cut
-    from folioscope.operators.search import probe_blocks
+    from folioscope.operators.search import largest_products
 
-    best = None
-    for block in probe_blocks(probes, "probe"):
-        scored = stored.join(F.broadcast(block)).select("probe", "node", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("sim"))
-        found = top_per_group(scored.filter(F.col("sim") >= floor), ["probe"], [F.desc("sim"), F.asc("node")], k)
-        best = found if best is None else best.unionByName(found)
+    best = largest_products(stored.select("node", "v"), probes.select("probe", F.col("q").alias("_q")), "node", "v", k).withColumnRenamed("score", "sim")
     return gradient_cut(best, "probe", "sim", floor, drop)
 
 

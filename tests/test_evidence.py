@@ -135,3 +135,12 @@ def test_prompt_blocks(spark):
     r = E.prompt_blocks(spark.createDataFrame(rows, "query int, number int, file_id string, page_id int, text string")).first()
     assert r.legend == "  [^1] file_id=f page_number=3\n  [^2] file_id=g page_number=7"
     assert r.block == "----- [^1] Page file_id=f page_id=3 -----\ntext\n\n----- [^2] Page file_id=g page_id=7 -----\n\n\n----- Page file_id=h page_id=4 -----\nmore\n"
+
+
+def test_seed_search_by_matrices(spark):
+    """Names and numbers as ids, ties in order of the node, a probe's equal node stays; a short vector is compared to none."""
+    stored = spark.createDataFrame([(f"n{i:03d}", [(i % 10) / 10.0, 0.5]) for i in range(200)] + [("short", [1.0])], "node string, v array<double>")
+    probes = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)], "probe int, q array<double>")
+    got = E.seed_search(probes, stored, k=3, floor=0.4, drop=0.3)
+    assert sorted((r.probe, r.node, r.sim, r["rank"]) for r in got.collect()) == [(p, n, s, k) for p, ns, s in ((1, ("n009", "n019", "n029"), 0.9), (2, ("n000", "n001", "n002"), 0.5)) for k, n in enumerate(ns, 1)]
+    assert "zip_with" not in E.seed_search(probes.filter("probe < 3"), stored.filter("node <> 'short'"), k=3)._jdf.queryExecution().toString()

@@ -3,9 +3,11 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as X
+from folioscope.functions import vectors
 from folioscope.operators import graph, relational, search
 
 
@@ -52,3 +54,21 @@ def test_value_lists_of_surfaces(spark):
     s = lambda f, x: spark.createDataFrame([(x,)], "s string").select(f(F.col("s"))).first()[0]
     assert s(X.catalogue_parts, "A，B；；C") == ["A", "B", "C"] and s(X.is_composite, "A，B") and not s(X.is_composite, "ABC, Inc.")
     assert s(X.clean_surface, "a ${^{2}}$ &amp; b $") == "a & b" and s(X.canonical, "ＡＢ　Ｃ") == "ab c"
+
+
+@pytest.mark.parametrize("values,cells", [(6_400_000, 4_000_000), (20, 30)])
+def test_dense_search_by_matrices_is_exact(spark, monkeypatch, values, cells):
+    """Equal to a plain sort: ties, copies, repeated ids, near scores, null and short vectors; products are no row's expression."""
+    monkeypatch.setattr(search, "VALUES", values)
+    monkeypatch.setattr(search, "CELLS", cells)
+    made = [(i, [round(((i * 7919) % 101) / 101 - 0.5, 3), 1.0 / (i % 9 + 1), float(i % 2), 4e-7 * (i % 5)]) for i in range(300)]
+    made += [(300 + i, [0.5, 0.5, 0.5, 0.5]) for i in range(60)] + [(7, [0.25, 0.5, 1.0, 0.0]), (None, [9.0] * 4), (400, None), (401, [1.0, None, 1.0, 1.0]), (402, [3.0]), (403, [float("nan"), 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(made, "id long, v array<float>")
+    probes = df.filter("id % 10 = 0 OR id > 399")
+    got = search.dense(df, probes, "id", "v", 12)
+    both = df.join(probes.select(F.col("id").alias("probe"), F.col("v").alias("q")), F.col("probe") != F.col("id"))
+    want = both.select("probe", "id", F.round(vectors.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    want = want.withColumn("rank", F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), F.asc("id")))).filter("rank <= 12")
+    text = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert text(got.collect()) == text(want.collect())
+    assert "zip_with" not in search.dense(df.filter("id < 360"), probes.filter("id < 360"), "id", "v", 12)._jdf.queryExecution().toString()
