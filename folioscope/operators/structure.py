@@ -23,16 +23,31 @@ def pages_of(combined: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return combined.select(id_col, F.posexplode(parts).alias("p", "text")).select(id_col, (F.col("p") + 1).alias("page"), F.trim("text").alias("text"))
 
 
+_HEADING = re.compile(r"(#{1,6}) +[^ ]")
+_HEADING_MARKS = re.compile(r"^#{1,6} +|[ #]+\Z")
+
+
 def headings(pages: DataFrame) -> DataFrame:
-    """(file_id, page, line, depth, title): ATX headings outside fenced code. Each page's lines are one row's array."""
-    lines = F.split("text", "\n")
-    fence = F.transform(lines, lambda x: x.rlike("^(```|~~~)").cast("int"))
-    # An odd number of fences before a line means it stands in code.
-    before = F.transform(fence, lambda _, i: F.aggregate(F.slice(fence, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b))
-    rows = pages.select("file_id", "page", F.posexplode(F.arrays_zip(lines.alias("text"), before.alias("fences"))).alias("line", "z"))
-    found = rows.filter((F.col("z.fences") % 2 == 0) & F.col("z.text").rlike("^#{1,6} +[^ ]"))
-    depth = F.length(F.regexp_extract("z.text", "^(#{1,6}) ", 1))
-    return found.select("file_id", "page", (F.col("line") + 1).alias("line"), depth.alias("depth"), F.trim(F.regexp_replace("z.text", r"^#{1,6} +|[ #]+$", "")).alias("title"))
+    """(file_id, page, line, depth, title): ATX headings outside fenced code; one pass over the lines of each page."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            row, line, depth, title = [], [], [], []
+            for r, text in enumerate(pdf["text"]):
+                fenced = False
+                for i, x in enumerate((text or "").split("\n"), 1):
+                    if x.startswith(("```", "~~~")):
+                        fenced = not fenced
+                    elif not fenced and x.startswith("#") and (found := _HEADING.match(x)):
+                        row.append(r)
+                        line.append(i)
+                        depth.append(len(found[1]))
+                        title.append(_HEADING_MARKS.sub("", x).strip(" "))
+            found = pd.DataFrame({"line": pd.Series(line, dtype="int32"), "depth": pd.Series(depth, dtype="int32"), "title": pd.Series(title, dtype="object")})
+            yield pd.concat([pdf[["file_id", "page"]].iloc[row].reset_index(drop=True), found], axis=1)
+
+    types = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("file_id", "page")]
+    return pages.select("file_id", "page", "text").mapInPandas(run, ", ".join([*types, "line int, depth int, title string"]))
 
 
 def markdown_blocks(pages: DataFrame) -> DataFrame:
@@ -52,23 +67,24 @@ def sections(heads: DataFrame, last_pages: DataFrame) -> DataFrame:
     headings are read together.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page", "line"]).reset_index(drop=True)
-        ids = [f"{f}:sec_{i + 1:03d}" for i, f in enumerate(pdf["file_id"])]
-        ends, parents, open_ = [], [], []
-        depth, page = pdf["depth"].tolist(), pdf["page"].tolist()
-        end = [None] * len(pdf)
-        for i, d in enumerate(depth):
-            while open_ and depth[open_[-1]] >= d:
-                j = open_.pop()
-                end[j] = max(page[j], page[i] - 1) if page[i] > page[j] else page[j]
-            parents.append(ids[open_[-1]] if open_ else None)
-            open_.append(i)
-        ends = [e if e is not None else max(p, last) for e, p, last in zip(end, page, pdf["last_page"], strict=True)]
-        return pd.DataFrame({"file_id": pdf["file_id"], "section_id": ids, "ord": range(1, len(pdf) + 1), "title": pdf["title"], "depth": depth, "page_start": page, "page_end": ends, "parent": parents})
-
-    joined = heads.join(last_pages, "file_id")
-    return joined.groupBy("file_id").applyInPandas(run, "file_id string, section_id string, ord int, title string, depth int, page_start long, page_end long, parent string")
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            rows = []
+            for f, last, heads in zip(pdf["file_id"], pdf["last_page"], pdf["heads"], strict=True):
+                end, parent, open_ = [None] * len(heads), [None] * len(heads), []
+                for i, h in enumerate(heads):
+                    while open_ and heads[open_[-1]]["depth"] >= h["depth"]:
+                        j = open_.pop()
+                        end[j] = max(heads[j]["page"], h["page"] - 1)
+                    parent[i] = f"{f}:sec_{open_[-1] + 1:03d}" if open_ else None
+                    open_.append(i)
+                for i, h in enumerate(heads):
+                    rows.append((f, f"{f}:sec_{i + 1:03d}", i + 1, h["title"], h["depth"], h["page"], max(h["page"], last) if end[i] is None else end[i], parent[i]))
+            yield pd.DataFrame(rows, columns=["file_id", "section_id", "ord", "title", "depth", "page_start", "page_end", "parent"])
+
+    listed = heads.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("page", "line", "depth", "title"))).alias("heads"))
+    joined = listed.join(last_pages.select("file_id", "last_page"), "file_id")
+    return joined.mapInPandas(run, "file_id string, section_id string, ord int, title string, depth int, page_start long, page_end long, parent string")
 
 
 def section_of_pages(pages: DataFrame, secs: DataFrame, deepest: bool = True, step: int = 64) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import folding
 from folioscope.functions import text as X
 from folioscope.operators import corpus, evidence, structure
+from folioscope.operators.graph import written
 from folioscope.plans.base import MENTIONS, Registry, mentions, table
 from folioscope.sources import readers
 
@@ -82,7 +83,8 @@ def section_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     file_id = F.concat(F.lit("d"), F.col("doc_id"))
     h = structure.headings(m.select(F.col("source").alias("file_id"), F.col("doc_id").alias("page"), F.array_join("lines", "\n").alias("text")))
     h = h.select(F.concat(F.lit("d"), "page").alias("file_id"), (F.floor(F.col("line") / PAGE_LINES) + 1).alias("page"), "line", "depth", "title")
-    last = m.select(file_id.alias("file_id"), (F.floor(F.size("lines") / PAGE_LINES) + 1).alias("last_page"))
+    n_lines = F.size(F.split("text", "\n"))  # marking keeps the lines
+    last = table(spark, sf_dir, "documents").select(file_id.alias("file_id"), (F.floor(n_lines / PAGE_LINES) + 1).alias("last_page"))
     pages = last.select("file_id", F.explode(F.sequence(F.lit(1).cast("bigint"), "last_page")).alias("page"))
     return pages, structure.sections(h, last)
 
@@ -118,6 +120,7 @@ SELECT file_id, page, arg_min(section_id, (-depth, ord)) AS deepest, arg_min(sec
 def section_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deepest and the first section that holds each page."""
     pages, secs = section_rows(spark, sf_dir)
+    secs = written(secs, "sections")
     deepest = structure.section_of_pages(pages, secs).withColumnRenamed("section_id", "deepest")
     first = structure.section_of_pages(pages, secs, deepest=False).withColumnRenamed("section_id", "first")
     return deepest.join(first, ["file_id", "page"])
@@ -131,7 +134,7 @@ SELECT file_id, section_id, bool_and(n = 1) AS exclusive FROM e JOIN n USING (fi
 )
 def exclusive_section_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a section has its pages for itself."""
-    return structure.exclusive_sections(section_rows(spark, sf_dir)[1])
+    return structure.exclusive_sections(written(section_rows(spark, sf_dir)[1], "sections"))
 
 
 def order_lines(spark: SparkSession, sf_dir: str, row) -> DataFrame:

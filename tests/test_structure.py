@@ -66,3 +66,16 @@ def test_blocks_keep_their_digits(spark):
     df = spark.createDataFrame([("f", 1, "# 0 zero 0\n  10 one 1 \n\n22 two 2\n# a\rb\u2028c\n3")], "file_id string, page long, text string")
     got = [(r.kind, r.text) for r in S.markdown_blocks(df).orderBy("pos").collect()]
     assert got == [("heading", "0 zero 0"), ("paragraph", "10 one 1"), ("paragraph", "22 two 2"), ("heading", "a\rb\u2028c"), ("paragraph", "3")]
+
+
+def test_headings_of_a_long_page_in_one_pass(spark):
+    """Work follows the lines: 40,000 of them, with fences open and closed throughout, are done within a minute."""
+    import time
+
+    text = "\n".join(("# h ##", "```", "# code", "~~~")[i % 4] if i % 8 < 4 else "x" for i in range(40_000))
+    df = spark.createDataFrame([("f", 1, text), ("f", 2, "  # no\n####### no\n#no\n## yes # \r")], "file_id string, page long, text string")
+    t = time.monotonic()
+    got = S.headings(df).collect()
+    assert time.monotonic() - t < 60
+    assert sorted(r.line for r in got if r.page == 1) == list(range(1, 40_001, 8)) and {r.title for r in got if r.page == 1} == {"h"}
+    assert [(r.line, r.depth, r.title) for r in got if r.page == 2] == [(4, 2, "yes # \r")]
