@@ -1,6 +1,7 @@
 """Finds a large dictionary in texts by equi-joins: no dictionary in the driver, no automaton in a task.
 
-Each surface is looked for at its rarest gram of Q code points, as counted in the texts. Texts are cut into pieces with
+A surface that is one word is looked for among the words of the texts, counted by text before they meet it. Any other, of
+several words or with Han, is looked for at its rarest gram of Q code points, as counted in the texts. Texts are cut into pieces with
 as much around them as the longest surface needs, grams of the pieces meet the surfaces that they stand for, and the
 whole surface and its two ends are compared there. Every occurrence has one such gram, so it is found once.
 """
@@ -15,6 +16,8 @@ from folioscope.operators.graph import written
 from folioscope.operators.search import small
 
 Q = 4
+#: What stands in a word.
+SOLID = r"[\p{L}\p{N}_]"
 #: Code points of a piece, without what stands around it.
 PIECE = 512
 #: Keys that are sent to all tasks at most; more are joined by a shuffle, whose crowded partitions are split at run time.
@@ -33,7 +36,26 @@ def dictionary_join(docs: DataFrame, surfaces: DataFrame, id_col: str, text_col:
 
     Surfaces of fewer than Q code points, null surfaces and null texts are left out; repeated ids add up.
     """
-    words = written(surfaces.select(F.lower("surface").alias("surface")).filter(F.char_length("surface") >= Q).distinct(), "dictionary")
+    lower = surfaces.select(F.lower("surface").alias("surface")).filter(F.char_length("surface") >= Q).distinct()
+    words = written(lower.withColumn("one", F.col("surface").rlike(f"^{SOLID}+\\z") & ~X.has_han(F.col("surface"))), "dictionary")
+    found = _whole_words(docs, words.filter("one").select("surface"), id_col, text_col)
+    others = words.filter(~F.col("one")).select("surface")
+    return found if others.limit(1).count() == 0 else found.unionByName(_by_grams(docs, others, id_col, text_col))
+
+
+def _whole_words(docs: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, surface, n) of surfaces that are one word each: they stand in a text where they are a whole run of it."""
+    runs = F.regexp_extract_all(F.lower(text_col), F.lit(f"{SOLID}{{{Q},}}"), F.lit(0))
+    counted = docs.select(id_col, F.explode(runs).alias("surface"))
+    few = small(words, KEYS)
+    if few is not words:
+        counted = counted.join(few, "surface", "left_semi")
+    counted = counted.groupBy(id_col, "surface").agg(F.count("*").alias("n"))
+    return counted if few is not words else counted.join(words, "surface", "left_semi").select(id_col, "surface", "n")
+
+
+def _by_grams(docs: DataFrame, words: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, surface, n) of surfaces of any kind, each at its rarest gram."""
     longest = words.agg(F.coalesce(F.max(F.char_length("surface")), F.lit(0))).first()[0]
     low = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("_low")).filter(F.char_length("_low") > 0)
     starts = F.explode(F.sequence(F.lit(1), F.char_length("_low"), F.lit(PIECE))).alias("start")
@@ -51,6 +73,6 @@ def dictionary_join(docs: DataFrame, surfaces: DataFrame, id_col: str, text_col:
     found = at.join(small(keys, KEYS), "gram").withColumn("begin", F.col("at") - F.col("off") + 1)
     size = F.char_length("surface")
     whole = (F.col("begin") >= 1) & (F.substring(F.col("piece"), F.col("begin"), size) == F.col("surface"))
-    solid = lambda place: F.substring(F.col("piece"), place, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
+    solid = lambda place: F.substring(F.col("piece"), place, F.lit(1)).rlike(SOLID)
     ends = ~((F.col("begin") > 1) & solid(F.greatest(F.col("begin") - 1, F.lit(1)))) & ~solid(F.col("begin") + size)
     return found.filter(whole).filter(F.col("han") | ends).groupBy(F.col("id").alias(id_col), "surface").agg(F.count("*").alias("n"))

@@ -35,3 +35,12 @@ def test_dictionary_join(spark, monkeypatch, piece):
     assert got == plain(texts, surfaces) and len(got) > 100
     assert dictionary.dictionary_join(d, s.limit(0), "id", "text").count() == 0
     assert dictionary.dictionary_join(d.limit(0), s, "id", "text").count() == 0
+
+
+def test_words_are_looked_for_as_words(spark):
+    """A dictionary of words alone reads no grams: a text's places are not rows; words in longer ones are none."""
+    d = spark.createDataFrame([(1, "Apex apex_ apexes APEX-apex é_ab12 éclairs"), (1, "apex"), (2, None), (3, "nothing")], "id int, text string")
+    s = spark.createDataFrame([("Apex",), ("é_ab12",), ("Éclair",), (None,), ("abc",)], "surface string")
+    found = dictionary.dictionary_join(d, s, "id", "text")
+    assert {(r["id"], r["surface"]): r["n"] for r in found.collect()} == {(1, "apex"): 4, (1, "é_ab12"): 1}
+    assert "sequence(" not in found._jdf.queryExecution().toString()
