@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.scores import hub_damping
 from folioscope.operators import clusters, graph
-from folioscope.plans.base import ALIASES, MENTIONS, Registry, alias_clusters, alias_edges, mentions, table
+from folioscope.plans.base import ALIASES, MENTIONS, Registry, alias_clusters, alias_edges, mentions, mentions_of_total, table
 
 R = Registry()
 
@@ -21,8 +21,17 @@ CLUSTERS_SQL = EDGES_SQL + "," + ALIASES
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = graph.entity_passage_edges(mentions(spark, sf_dir))
-    return graph.written(e.select(F.col("surface").alias("src"), F.col("passage").alias("dst"), "weight"), "edges")
+    return graph.written(_ends(graph.entity_passage_edges(mentions_of_total(spark, sf_dir))), "edges")
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("surface").alias("src"), F.col("passage").alias("dst"), "weight")
+
+
+def _edges_and_mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges as of _edges, and the mentions they are made of, from one written table."""
+    m = graph.written(mentions_of_total(spark, sf_dir), "mentions")
+    return _ends(graph.entity_passage_edges(m)), m.drop("total")
 
 
 def _seeds(edges: DataFrame) -> DataFrame:
@@ -71,8 +80,8 @@ SELECT src, dst, round(sum(w), 6) AS weight FROM q GROUP BY 1, 2"""
 )
 def ppr_quotient(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surfaces contracted by alias clusters; weights of parallel edges add up."""
-    e = _edges(spark, sf_dir)
-    return graph.quotient(e, alias_clusters(spark, sf_dir)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    e, m = _edges_and_mentions(spark, sf_dir)
+    return graph.quotient(e, alias_clusters(spark, sf_dir, m)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 _QSTEPS = "".join(
@@ -96,8 +105,8 @@ SELECT m.node, round(s, 8) AS score FROM m JOIN y{ROUNDS} y ON y.node = m.super
 )
 def ppr_supernodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personalised PageRank on the graph of contracted surfaces; every member has the score of its super-node."""
-    e = _edges(spark, sf_dir)
-    x = graph.quotient_pagerank(e, alias_clusters(spark, sf_dir), _seeds(e).withColumn("mass", F.lit(1.0)), 0.5, ROUNDS)
+    e, m = _edges_and_mentions(spark, sf_dir)
+    x = graph.quotient_pagerank(e, alias_clusters(spark, sf_dir, m), _seeds(e).withColumn("mass", F.lit(1.0)), 0.5, ROUNDS)
     return x.select("node", F.round("score", 8).alias("score")).filter("score > 0")
 
 
@@ -217,12 +226,13 @@ CANON_SQL = """, canon AS (SELECT cluster, arg_min(node, (0.05 * length(node), -
 @R.add(CLUSTERS_SQL + CANON_SQL + " SELECT surface AS node, cluster, canonical FROM cl JOIN canon USING (cluster)")
 def alias_cluster_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every surface with an alias, its cluster as stored after two batches, and the cluster's canonical surface."""
-    labels = alias_clusters(spark, sf_dir)
-    return labels.join(_canonical(spark, sf_dir, labels), "node").select("node", "cluster", "canonical")
+    m = graph.written(mentions(spark, sf_dir), "mentions")
+    labels = alias_clusters(spark, sf_dir, m)
+    return labels.join(_canonical(m, labels), "node").select("node", "cluster", "canonical")
 
 
-def _canonical(spark: SparkSession, sf_dir: str, labels: DataFrame) -> DataFrame:
-    s = mentions(spark, sf_dir).groupBy(F.col("surface").alias("node")).agg(F.sum("n").alias("n"))
+def _canonical(found: DataFrame, labels: DataFrame) -> DataFrame:
+    s = found.groupBy(F.col("surface").alias("node")).agg(F.sum("n").alias("n"))
     return clusters.canonical(labels, s.withColumn("surface", F.col("node")))
 
 
@@ -234,8 +244,9 @@ SELECT coalesce(canonical, src) AS surface, dst AS passage, round(sum(w), 6) AS
 )
 def alias_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of the surfaces of a cluster moved to its canonical one."""
-    e = _edges(spark, sf_dir).withColumnsRenamed({"src": "surface", "dst": "passage"})
-    edges, _ = graph.collapse(e, _canonical(spark, sf_dir, alias_clusters(spark, sf_dir)))
+    e, m = _edges_and_mentions(spark, sf_dir)
+    e = e.withColumnsRenamed({"src": "surface", "dst": "passage"})
+    edges, _ = graph.collapse(e, _canonical(m, alias_clusters(spark, sf_dir, m)))
     return edges.select("surface", "passage", F.round("weight", 6).alias("weight"))
 
 
@@ -257,8 +268,8 @@ SELECT node, 1.0 AS sim FROM s0 UNION ALL SELECT node, round(max(sim), 6) FROM o
 )
 def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds and siblings of their clusters at a lower weight."""
-    e = _edges(spark, sf_dir)
-    return graph.seed_spread(_seeds(e).withColumn("sim", F.lit(1.0)), alias_clusters(spark, sf_dir)).select("node", F.round("sim", 6).alias("sim"))
+    e, m = _edges_and_mentions(spark, sf_dir)
+    return graph.seed_spread(_seeds(e).withColumn("sim", F.lit(1.0)), alias_clusters(spark, sf_dir, m)).select("node", F.round("sim", 6).alias("sim"))
 
 
 @R.add(
