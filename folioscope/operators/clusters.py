@@ -35,7 +35,9 @@ class ClusterStore:
     def labels(self) -> DataFrame:
         """(node, cluster) of every node that has an edge; others are in no cluster."""
         log = self.log()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/labels/{log[-1]['folder']}") if log else self.spark.createDataFrame([], self.schema)
+        # Without a log an empty range: an empty local table would start Python workers.
+        none = self.spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in self.schema.split(", "))])
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/labels/{log[-1]['folder']}") if log else none
 
     def merge(self, edges: DataFrame, batch: str) -> bool:
         """Merges edges (src, dst) into the labels; False if a batch of that name is in already."""
@@ -45,11 +47,12 @@ class ClusterStore:
         now = self.labels()
         e = edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL AND src <> dst")
         e = written(e.distinct(), "cluster-batch")
-        of = lambda c: now.select(F.col("node").alias(c), F.col("cluster").alias(f"_{c}"))
+        # Merge joins: labels that are small enough for a broadcast would all go through the driver, version by version.
+        of = lambda c: now.select(F.col("node").alias(c), F.col("cluster").alias(f"_{c}")).hint("merge")
         joined = e.join(of("src"), "src", "left").join(of("dst"), "dst", "left")
         between = joined.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst"))
         moved = written(components(between.filter("src <> dst")), "cluster-moves").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
-        new = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(now, "node", "left_anti")
+        new = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().join(now.hint("merge"), "node", "left_anti")
         all_ = now.unionByName(new.select("node", F.col("node").alias("cluster")))
         after = all_.join(small(moved), F.col("cluster") == F.col("_old"), "left").select("node", F.coalesce("_new", "cluster").alias("cluster"))
         folder = f"{len(log)}-{uuid.uuid4().hex[:12]}"
