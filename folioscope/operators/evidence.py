@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import WORD_PATTERN
 from folioscope.operators.order import top_per_group
 
+#: Pairs that a task holds at once, about.
+CELLS = 2_000_000
+
 
 def passages_of_surface(edges: DataFrame, passages: DataFrame, pattern: str) -> DataFrame:
     """(surface, passage, ...) of surfaces that match a pattern, case aside; the filter is on the narrow side."""
@@ -196,6 +201,50 @@ def idf_jaccard(left: DataFrame, right: DataFrame, idf: DataFrame, hint: Callabl
     return j.select("a", "b", (F.col("_c") / (F.col("_ta") + F.col("_tb") - F.col("_c"))).alias("overlap"))
 
 
+def idf_jaccard_of_few(left: DataFrame, right: DataFrame, idf: DataFrame) -> DataFrame:
+    """idf_jaccard for left rows that are counted to be few: they are sent to the tasks, and the right ones are shuffled once by token and once by key.
+
+    A right key brings its total weight and the numbers of its tokens that any left key has; common weights are summed in
+    arrays, so no row is made for each token of a pair.
+    """
+    asked = left.distinct().join(idf, "token").select("key", "token", "idf").collect()
+    keys, words = sorted({r["key"] for r in asked}), sorted({r["token"] for r in asked})
+    of_key, of_word = {k: i for i, k in enumerate(keys)}, {w: i for i, w in enumerate(words)}
+    held, weight, total = [[] for _ in words], np.zeros(len(words)), np.zeros(len(keys))
+    for r in asked:
+        held[of_word[r["token"]]].append(of_key[r["key"]])
+        weight[of_word[r["token"]]] = r["idf"]
+        total[of_key[r["key"]]] += r["idf"]
+    n = np.array([len(h) for h in held], dtype=np.int64)
+    first, flat = np.cumsum(n) - n, np.array([k for h in held for k in h], dtype=np.int64)
+    names = np.array(keys)
+
+    def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CELLS // max(1, len(keys)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                b, own, lists = (c for c in batch.slice(at, step).columns)
+                w, rows = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(b)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                k = n[w]
+                place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[w], k)
+                cell = np.repeat(rows, k) * len(keys) + flat[place]
+                size = len(b) * len(keys)
+                common = np.bincount(cell, np.repeat(weight[w], k), size)
+                hit = np.flatnonzero(np.bincount(cell, minlength=size))
+                i, j = hit // len(keys), hit % len(keys)
+                c = common[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(names[j]), b.take(pa.array(i)), pa.array(c / (total[j] + own.to_numpy(zero_copy_only=False)[i] - c))], names=["a", "b", "overlap"])
+
+    kinds = [df.schema["key"].dataType.simpleString() for df in (left, right)]
+    spark = right.sparkSession
+    if not asked:
+        return right.filter("false").select(F.lit(None).cast(kinds[0]).alias("a"), F.col("key").alias("b"), F.lit(0.0).alias("overlap"))
+    numbers = F.broadcast(spark.createDataFrame(list(of_word.items()), "token string, _w int"))
+    rows = right.select("key", "token").repartition("token").distinct().join(idf, "token").join(numbers, "token", "left")
+    per = rows.groupBy("key").agg(F.sum("idf").alias("_tb"), F.collect_list("_w").alias("_words")).filter(F.size("_words") > 0)
+    return per.mapInArrow(overlaps, f"a {kinds[0]}, b {kinds[1]}, overlap double")
+
+
 def merge_sources(pool: DataFrame) -> DataFrame:
     """One row a URL of (url, redirect, seq, title, snippet): a redirect counts as its target, the first filled value stays."""
     rows = pool.withColumn("url", F.coalesce("redirect", "url"))

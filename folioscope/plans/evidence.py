@@ -162,8 +162,9 @@ def idf_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = evidence.tokens_of(d, "doc_id", "text")
     n = d.agg(F.count("*").alias("n"))
     idf = t.groupBy("token").agg(F.count("*").alias("df")).crossJoin(n).select("token", F.ln((F.col("n") + 1) / (F.col("df") + 0.5)).alias("idf"))
-    # Frequent words meet the few question words by a broadcast, if those are counted to be few.
-    found = evidence.idf_jaccard(evidence.tokens_of(q, "item_id", "text"), t, graph.written(idf, "idf"), lambda rows: search.small(rows, QUESTION_TOKENS))
+    asked, idf = evidence.tokens_of(q, "item_id", "text").filter("key IS NOT NULL"), graph.written(idf, "idf")
+    few = asked.limit(QUESTION_TOKENS + 1).count() <= QUESTION_TOKENS
+    found = evidence.idf_jaccard_of_few(asked, t.filter("key IS NOT NULL"), idf) if few else evidence.idf_jaccard(asked, t, idf)
     return found.select("a", "b", F.round("overlap", 6).alias("overlap"))
 
 
