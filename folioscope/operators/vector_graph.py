@@ -52,14 +52,15 @@ def build(table: DataFrame, id_col: str, vector_col: str, k: int = 10, recall: f
     spark = table.sparkSession
     rows = written(keyed(table, id_col, vector_col).filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()), "graph-rows")
     shards_at = shared_path(spark, "graph-shards")
-    points = rows.groupBy("key").agg(F.first(vector_col).alias("v"))
+    points = written(rows.groupBy("key").agg(F.first(vector_col).alias("v")), "graph-points")
     n, width = points.agg(F.count("*"), F.max(F.size("v"))).first()
     shards = max(1, -(-n * 8 * (width or 1) // shard_bytes))
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    dealt.groupBy("shard").applyInPandas(_shard, SHARDS).write.parquet(shards_at)
+    # a task a shard, by its number: hashes of a few numbers would meet in one task
+    dealt.repartitionById(shards, "shard").mapInPandas(_shard, SHARDS).write.parquet(shards_at)
     index = GraphIndex(spark.read.schema(SHARDS).parquet(shards_at), rows.select("key", id_col), id_col, vector_col)
     if n > 1:
-        index.beam = _beam_for(index, rows, k, recall)
+        index.beam = _beam_for(index, points.withColumnRenamed("v", vector_col), k, recall)
     return index
 
 
@@ -72,18 +73,27 @@ def keyed(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def nearest(index: GraphIndex, probes: DataFrame, k: int, beam: int | None = None) -> DataFrame:
     """(probe, <id>, score, rank): the k rows of largest cosine that the walks find for each stated probe."""
-    i = index.id_col
+    return nearest_of(index, walked(index, probes, k, beam), k)
+
+
+def walked(index: GraphIndex, probes: DataFrame, k: int, beam: int | None = None) -> DataFrame:
+    """The walks of all probes, a block of them at a time, written once: what they find and what they cost is read from there."""
     out = None
-    for block in search.probe_blocks(probes, i):
-        walked = walks(index, block, k, [beam or index.beam]).filter("key IS NOT NULL")
-        keys = top_per_group(walked.select("probe", "key", "score"), ["probe"], [F.desc("score"), F.asc("key")], k + 1).drop("rank")
-        # rows of one vector are at one distance, so the k + 1 smallest ids of each are enough; they are cut before the shuffle
-        wanted = index.members.join(keys.select("key").distinct(), "key", "left_semi").distinct()
-        few = top_per_group(wanted, ["key"], [F.asc(i)], k + 1).drop("rank")
-        both = keys.join(few, "key").filter(F.col("probe") != F.col(i)).select("probe", i, "score")
-        found = top_per_group(both, ["probe"], [F.desc("score"), F.asc(i)], k)
-        out = found if out is None else out.unionByName(found)
-    return out
+    for block in search.probe_blocks(probes, index.id_col):
+        one = walks(index, block, k, [beam or index.beam])
+        out = one if out is None else out.unionByName(one)
+    return written(out, "graph-walks")
+
+
+def nearest_of(index: GraphIndex, done: DataFrame, k: int) -> DataFrame:
+    """(probe, <id>, score, rank): the k rows of largest cosine of walks that walked() has written."""
+    i = index.id_col
+    keys = top_per_group(done.filter("key IS NOT NULL").select("probe", "key", "score"), ["probe"], [F.desc("score"), F.asc("key")], k + 1).drop("rank")
+    # rows of one vector are at one distance, so the k + 1 smallest ids of each are enough; they are cut before the shuffle
+    wanted = index.members.join(keys.select("key").distinct(), "key", "left_semi").distinct()
+    few = top_per_group(wanted, ["key"], [F.asc(i)], k + 1).drop("rank")
+    both = keys.join(few, "key").filter(F.col("probe") != F.col(i)).select("probe", i, "score")
+    return top_per_group(both, ["probe"], [F.desc("score"), F.asc(i)], k)
 
 
 def walks(index: GraphIndex, probes: DataFrame, k: int, beams: list[int]) -> DataFrame:
@@ -119,9 +129,14 @@ def walks(index: GraphIndex, probes: DataFrame, k: int, beams: list[int]) -> Dat
 
 def compared_share(index: GraphIndex, probes: DataFrame, k: int) -> DataFrame:
     """One row (compared, of): vectors that the probes' walks were compared with, and those of a full scan."""
+    return share_of(index, walked(index, probes, k))
+
+
+def share_of(index: GraphIndex, done: DataFrame) -> DataFrame:
+    """compared_share of walks that walked() has written."""
     n = index.shards.agg(F.sum(F.size("keys")).alias("n"))
-    done = walks(index, probes, k, [index.beam]).filter("key IS NULL").agg(F.sum("compared").alias("compared"), F.countDistinct("probe").alias("probes"))
-    return done.crossJoin(n).select("compared", (F.col("probes") * F.col("n")).alias("of"))
+    cost = done.filter("key IS NULL").agg(F.sum("compared").alias("compared"), F.countDistinct("probe").alias("probes"))
+    return cost.crossJoin(n).select("compared", (F.col("probes") * F.col("n")).alias("of"))
 
 
 def link(points: np.ndarray, degree: int = DEGREE) -> np.ndarray:
@@ -204,20 +219,23 @@ def walk(points: np.ndarray, links: np.ndarray, q: np.ndarray, beam: int) -> tup
     return nodes, scores, compared
 
 
-def _shard(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("key")  # digests, so the order is random and the same in each run
+def _shard(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The row of the one shard whose (key, v, shard) these are."""
+    held = [part for part in parts if len(part)]
+    if not held:
+        return
+    part = pd.concat(held).sort_values("key")  # digests, so the order is random and the same in each run
     points = np.stack([np.asarray(v, dtype=np.float64) for v in part["v"]])
     links = link(points)
     row = [int(part["shard"].iloc[0]), part["key"].tolist(), points.tobytes(), links.tobytes(), links.shape[1]]
-    return pd.DataFrame([row], columns=["shard", "keys", "points", "links", "degree"])
+    yield pd.DataFrame([row], columns=["shard", "keys", "points", "links", "degree"])
 
 
-def _beam_for(index: GraphIndex, rows: DataFrame, k: int, recall: float) -> int:
+def _beam_for(index: GraphIndex, one: DataFrame, k: int, recall: float) -> int:
     """The least beam whose walks find a share recall of the distinct vectors that are nearest to some rows."""
     v = index.vector_col
-    one = rows.groupBy("key").agg(F.first(v).alias(v))
-    probes = one.orderBy(F.xxhash64("key", F.lit("tuning")), "key").limit(TUNING_ROWS)
-    exact = search.dense(one, probes, "key", v, k).select("probe", "key")
+    probes = written(one.orderBy(F.xxhash64("key", F.lit("tuning")), "key").limit(TUNING_ROWS), "graph-tuning")
+    exact = written(search.dense(one, probes, "key", v, k).select("probe", "key"), "graph-tuning-exact")
     beams = sorted({max(k + 1, round(b * k)) for b in BEAMS})
     asked = GraphIndex(index.shards, index.members, "key", v)
     found = walks(asked, probes, k, beams).filter("key IS NOT NULL AND key <> probe")

@@ -6,7 +6,9 @@ import random
 import numpy as np
 
 from folioscope.functions import text as X
+from folioscope.functions import vectors
 from folioscope.operators import alias, search, vector_graph, vector_index
+from folioscope.plans import neighbours
 from tests.test_text import column
 
 
@@ -105,3 +107,28 @@ def test_graph_reaches_all_nodes():
         edge = sorted({int(x) for i in edge for x in links[i] if x >= 0} - reached)
         reached |= set(edge)
     assert len(reached) == 700
+
+
+def test_unit_makes_the_norm_once(spark):
+    """The norm stands once in the expression, outside the division of each number, so the cost is linear in the width."""
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, []), (5, [1.0, None])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = df.select("id", vectors.unit(df.v).alias("u"), vectors.norm(df.v).alias("n")).orderBy("id").collect()
+    assert [(r.u, r.n) for r in got] == [([0.6, 0.8], 5.0), ([0.0, 0.0], 1.0), (None, None), ([], 1.0), ([None, None], None)]
+    assert df.select(vectors.unit(df.v)).columns[0].count("aggregate(") == 1
+
+
+def test_recall_and_share_of_one_walk(spark, monkeypatch):
+    """The query walks for the beam once and for its probes once; recall and comparisons come of the same walks."""
+    calls, walks = [], vector_graph.walks
+    monkeypatch.setattr(vector_graph, "walks", lambda *a: (calls.append(a[3]), walks(*a))[1])
+    assert tuple(neighbours.graph_recall(spark, "/root/testdata/sf0.001").first()) == (5, 50, True, True)
+    assert len(calls) == 2
+
+
+def test_every_shard_has_its_task(spark):
+    """Nine shards are made by nine tasks, a file each, wherever hashes of their numbers would have put them."""
+    df = spark.createDataFrame(_points(900), "id long, v array<double>")
+    index = vector_graph.build(df, "id", "v", k=5, shard_bytes=100 * 12 * 8)
+    assert index.shards.count() == 9 and len(index.shards.inputFiles()) == 9
+    assert sorted(k for r in index.shards.collect() for k in r["keys"]) == sorted(r.key for r in index.members.collect())
