@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from folioscope.functions import text as X
 from folioscope.functions import vectors
@@ -132,3 +133,43 @@ def test_every_shard_has_its_task(spark):
     index = vector_graph.build(df, "id", "v", k=5, shard_bytes=100 * 12 * 8)
     assert index.shards.count() == 9 and len(index.shards.inputFiles()) == 9
     assert sorted(k for r in index.shards.collect() for k in r["keys"]) == sorted(r.key for r in index.members.collect())
+
+
+def test_index_search_sends_probes_once(spark):
+    """1,500 probes that read all of 39 cells: no table of a row for each probe and cell is sent to the tasks, nor are pairs scored one by one."""
+    df = spark.createDataFrame([(str(i), v) for i, v in _points(1500) + [(2000 + i, [1.0] * 12) for i in range(40)]], "id string, v array<float>")
+    index = vector_index.build(df, "id", "v", k=5)
+    was = {c: spark.conf.get(c) for c in ("spark.sql.maxBroadcastTableSize", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        found = vector_index.nearest(index, df, 5, read=index.n_cells)
+        got = sorted(map(tuple, found.collect()))
+    finally:
+        for c, value in was.items():
+            spark.conf.set(c, value)
+    unit = index.rows.select("id", "v")
+    assert index.n_cells == 39 and got == sorted(map(tuple, search.dense(unit, unit, "id", "v", 5).collect()))
+    assert "zip_with" not in found._jdf.queryExecution().toString().split("MapInArrow")[0]
+
+
+def test_best_of_cells(monkeypatch):
+    """Each probe meets its cells only, its own rows aside; of rows of one score the least ids stay, whatever the batches."""
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    x[100:160] = x[100]
+    ids, cell = [f"r{i % 290:03d}" for i in range(300)], r.integers(0, 11, 300).astype(np.int32)
+    probes, reads = list(range(0, 300, 7)), r.random((43, 11)) < 0.6
+    column = lambda v: pa.array(list(v), pa.list_(pa.float64()))
+    asked = pa.table({"probe": [ids[i] for i in probes], "_q": column(x[probes]), "cells": [b.tobytes() for b in np.packbits(reads, axis=1)]})
+    want = []
+    for n, i in enumerate(probes):
+        near = sorted((-round(float(sum(a * b for a, b in zip(x[j], x[i], strict=True))), 6), ids[j]) for j in range(300) if reads[n, cell[j]] and ids[j] != ids[i])
+        want += [(ids[i], *row) for row in near[:5]]
+    for rows, scores in ((300, 4_000_000), (40, 60), (1, 1)):
+        monkeypatch.setattr(search, "CELLS", scores)
+        batches = [pa.RecordBatch.from_arrays([pa.array(ids[a : a + rows]), column(x[a : a + rows]), pa.array(cell[a : a + rows])], names=["id", "v", "cell"]) for a in range(0, 300, rows)]
+        out = pa.Table.from_batches(vector_index._best_of_cells(iter(batches), asked, 5)).to_pylist()
+        assert len(out) < 43 * 20
+        best = [sorted((-round(o["_s"], 6), o["id"]) for o in out if o["probe"] == p)[:5] for p in asked["probe"].to_pylist()]
+        assert [(p, *row) for p, some in zip(asked["probe"].to_pylist(), best, strict=True) for row in some] == want
