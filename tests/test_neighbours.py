@@ -173,3 +173,18 @@ def test_best_of_cells(monkeypatch):
         assert len(out) < 43 * 20
         best = [sorted((-round(o["_s"], 6), o["id"]) for o in out if o["probe"] == p)[:5] for p in asked["probe"].to_pylist()]
         assert [(p, *row) for p, some in zip(asked["probe"].to_pylist(), best, strict=True) for row in some] == want
+
+
+def test_recall_sends_probes_once(spark, tmp_path):
+    """Each of 1,500 rows is a probe; the query holds no table of a row for each probe and cell."""
+    v = np.random.default_rng(8).normal(size=(1500, 24))
+    rows = [(100 * i, x.tolist()) for i, x in enumerate(v / np.linalg.norm(v, axis=1, keepdims=True))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    was = {c: spark.conf.get(c) for c in ("spark.sql.maxBroadcastTableSize", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert tuple(neighbours.ann_recall(spark, str(tmp_path)).first()) == (1500, 15_000, True)
+    finally:
+        for c, value in was.items():
+            spark.conf.set(c, value)
